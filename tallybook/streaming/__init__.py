@@ -1,0 +1 @@
+"""Empty on purpose: every analysis works on a batch log, none on a stream."""
