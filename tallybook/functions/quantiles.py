@@ -13,7 +13,7 @@ def exact_quantiles(df: DataFrame, column: str, quantiles: list[float], accuracy
     gives a bracket that is sure to hold the wanted positions (its rank error is at most
     rows / accuracy); lines below the bracket are only counted, and only the few inside are ranked.
     """
-    values = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
+    values = df.select(F.col(column).cast("double").alias("v"))
     slack = 2.0 / accuracy
     marks = [min(max(q + side * slack, 0.0), 1.0) for q in quantiles for side in (-1, 1)]
     sketch = values.agg(
@@ -41,15 +41,16 @@ def exact_quantiles(df: DataFrame, column: str, quantiles: list[float], accuracy
         values.select("v", sketch.alias("s"))
         .select("v", F.inline(brackets))
         .filter(F.col("to").isNull() | (F.col("v") <= F.col("to")))
-        .groupBy("i", "position", F.when(F.col("from").isNull() | (F.col("v") >= F.col("from")), F.col("v")).alias("v"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .select("i", "position", "v", F.when(F.col("from").isNull() | (F.col("v") >= F.col("from")), F.col("v")).alias("inside"))
+        .groupBy("i", "position", "inside")
+        .agg(F.count("v").alias("n"))
     )
-    up_to_here = Window.partitionBy("i").orderBy(F.asc_nulls_first("v"))
-    ranked = counted.withColumn("End", F.sum("n").over(up_to_here)).filter(F.col("v").isNotNull())
+    up_to_here = Window.partitionBy("i").orderBy(F.asc_nulls_first("inside"))
+    ranked = counted.withColumn("End", F.sum("n").over(up_to_here)).filter(F.col("inside").isNotNull())
 
     def at(position):
         # the value whose run of equal values covers this zero-based position
-        return F.min(F.when(F.col("End") > position, F.col("v")))
+        return F.min(F.when(F.col("End") > position, F.col("inside")))
 
     low, high = at(F.floor("position")), at(F.ceil("position"))
     return (

@@ -263,34 +263,43 @@ def item_recommendations(
         owned = owned.join(selected.select("CustomerID"), "CustomerID", "left_semi")
 
     light, hot = _split_hot(owned, "StockCode", hot_owners)
-    light_scores = item_scores(light, pair_counts, "CustomerID")
-
     members, signature_items = _signatures(hot, "CustomerID", "StockCode")
-    hot_scores = item_scores(signature_items, pair_counts, "Signature")
-    best_first = Window.partitionBy("Signature").orderBy(F.desc("Score"), "StockCode")
-    hot_list = hot_scores.withColumn("Place", F.row_number().over(best_first).cast("bigint"))
-    # the first k places that are not owned lie within the first k + (number of owned products)
-    places = (
-        members.select("CustomerID", "Signature")
-        .join(owned.groupBy("CustomerID").agg(F.count(F.lit(1)).alias("Owned")), "CustomerID")
-        .select("CustomerID", "Signature", F.explode(F.sequence(F.lit(1), F.col("Owned") + k)).alias("Place"))
-    )
-    listed = places.join(hot_list.select("Signature", "Place", "StockCode"), ["Signature", "Place"])
+    signature_of = members.select("CustomerID", "Signature")
+    hot_scores = item_scores(signature_items, pair_counts, "Signature").withColumnRenamed("Score", "HotScore")
 
-    candidates = (
-        light_scores.unionByName(listed.select("CustomerID", "StockCode", F.lit(0).cast("bigint").alias("Score")))
-        .groupBy("CustomerID", "StockCode")
-        .agg(F.sum("Score").alias("Score"))
+    # candidates that light products lead to, scored in full
+    in_full = (
+        item_scores(light, pair_counts, "CustomerID")
         .join(owned, ["CustomerID", "StockCode"], "left_anti")
-    )
-    # add what the hot products contribute to each candidate
-    hot_part = hot_scores.select("Signature", "StockCode", F.col("Score").alias("HotScore"))
-    scored = (
-        candidates.join(members.select("CustomerID", "Signature"), "CustomerID", "left")
-        .join(hot_part, ["Signature", "StockCode"], "left")
+        .join(signature_of, "CustomerID", "left")
+        .join(hot_scores, ["Signature", "StockCode"], "left")
         .select("CustomerID", "StockCode", (F.col("Score") + F.coalesce("HotScore", F.lit(0))).alias("Score"))
     )
-    return _best(scored, k)
+
+    # candidates by hot products alone: the first k that are not owned lie within the first
+    # k + (number of owned products) places of the signature's list
+    best_first = Window.partitionBy("Signature").orderBy(F.desc("HotScore"), "StockCode")
+    hot_list = hot_scores.withColumn("Place", F.row_number().over(best_first).cast("bigint"))
+    places = signature_of.join(owned.groupBy("CustomerID").agg(F.count(F.lit(1)).alias("Owned")), "CustomerID").select(
+        "CustomerID", "Signature", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("Owned") + k)).alias("Place")
+    )
+    from_hot = (
+        places.join(hot_list, ["Signature", "Place"])
+        .join(owned, ["CustomerID", "StockCode"], "left_anti")
+        .select("CustomerID", "StockCode", F.col("HotScore").alias("Score"))
+    )
+    return _merge_best(in_full, from_hot, k)
+
+
+def _merge_best(in_full: DataFrame, at_least: DataFrame, k: int) -> DataFrame:
+    """The k best of two candidate lists, where scores in the second may be too low.
+
+    Each list is cut to its k best first: a candidate cut from the first list has k better ones
+    there, so its lower score in the second cannot bring it back.
+    """
+    both = _best(in_full, k).unionByName(_best(at_least, k))
+    merged = both.groupBy("CustomerID", "StockCode").agg(F.max("Score").alias("Score"))
+    return _best(merged, k)
 
 
 def _best(scored: DataFrame, k: int) -> DataFrame:
@@ -346,19 +355,26 @@ def similar_customers(
     t = hot_sets.select(F.col("Signature").alias("T"), "StockCode")
     hot_common = s.join(t, "StockCode").groupBy("S", "T").agg(F.count(F.lit(1)).alias("HotCommon"))
 
+    closest = [F.desc(_closeness(F.col("Common"), F.col("OtherSize"))), F.asc("OtherID")]
+
+    def nearest(candidates: DataFrame, to: str) -> DataFrame:
+        # k + 1, because a member may not be its own neighbour
+        place = F.row_number().over(Window.partitionBy(to).orderBy(*closest))
+        return candidates.withColumn("Place", place).filter(F.col("Place") <= k + 1)
+
     # candidates that share light products, counted in full, and the profile's own members
+    itself = sizes.select(F.col("Profile").alias("P"), F.col("Profile").alias("Q"), F.col("Size").alias("Common"))
     in_full = (
         touched.join(signature_of.toDF("P", "S"), "P", "left")
         .join(signature_of.toDF("Q", "T"), "Q", "left")
         .join(hot_common, ["S", "T"], "left")
         .select("P", "Q", (F.col("Common") + F.coalesce("HotCommon", F.lit(0))).alias("Common"))
-        .unionByName(sizes.select(F.col("Profile").alias("P"), F.col("Profile").alias("Q"), F.col("Size").alias("Common")))
-    )
-    candidates = in_full.join(standing.toDF("OtherID", "Q", "OtherSize"), "Q").select(
-        "P", "OtherID", "OtherSize", "Common"
+        .unionByName(itself)
+        .join(standing.toDF("OtherID", "Q", "OtherSize"), "Q")
+        .select("P", "OtherID", "OtherSize", "Common")
     )
 
-    # candidates that share hot products only: the first members of each (signature, size) class
+    # candidates by hot products alone: the first members of each (signature, size) class
     in_class = Window.partitionBy("Signature", "Size").orderBy("CustomerID")
     class_firsts = (
         standing.join(signature_of, "Profile")
@@ -366,24 +382,27 @@ def similar_customers(
         .filter(F.col("Place") <= k + 1)
         .select(F.col("Signature").alias("T"), F.col("CustomerID").alias("OtherID"), F.col("Size").alias("OtherSize"))
     )
-    closest = [F.desc(_closeness(F.col("Common"), F.col("OtherSize"))), F.asc("OtherID")]
-    hot_list = (
-        hot_common.join(class_firsts, "T")
-        .select("S", "OtherID", "OtherSize", F.col("HotCommon").alias("Common"))
-        .withColumn("Place", F.row_number().over(Window.partitionBy("S").orderBy(*closest)))
-        .filter(F.col("Place") <= k + 1)
+    by_signature = hot_common.join(class_firsts, "T").select(
+        "S", "OtherID", "OtherSize", F.col("HotCommon").alias("Common")
+    )
+    from_hot = (
+        signature_of.toDF("P", "S")
+        .join(nearest(by_signature, "S").drop("Place"), "S")
+        .select("P", "OtherID", "OtherSize", "Common")
     )
-    from_hot = signature_of.toDF("P", "S").join(hot_list, "S").select("P", "OtherID", "OtherSize", "Common")
 
-    # k + 1 per profile, because a member may not be its own neighbour
-    best = (
-        candidates.unionByName(from_hot)
+    # both lists are cut before they are merged, as in _merge_best
+    merged = (
+        nearest(in_full, "P")
+        .drop("Place")
+        .unionByName(from_hot)
         .groupBy("P", "OtherID", "OtherSize")
         .agg(F.max("Common").alias("Common"))
-        .withColumn("Place", F.row_number().over(Window.partitionBy("P").orderBy(*closest)))
-        .filter(F.col("Place") <= k + 1)
+    )
+    best = (
+        nearest(merged, "P")
         .groupBy("P")
-        .agg(F.sort_array(F.collect_list(F.struct("Place", "OtherID", "OtherSize", "Common"))).alias("List"))
+        .agg(F.sort_array(F.collect_list(F.struct("Place", "OtherID", "OtherSize", "Common"))).alias("List"))  # k + 1
     )
     others = F.slice(F.filter("List", lambda o: o["OtherID"] != F.col("CustomerID")), 1, k)
     return (

@@ -31,17 +31,16 @@ SCALED_T = 10.0
 
 def _objective(weighted: DataFrame, expand: Callable[[np.ndarray], dict[str, float]], likelihood, penalty: float):
     """Function from a list of log-parameter vectors to their objective values, by one Spark job."""
+    names = list(expand(np.ones(4)))
+    mean = F.sum(likelihood({n: F.col(n) for n in names}) * F.col("w")) / F.sum("w")
+
+    def struct(i: int, point: np.ndarray) -> str:
+        values = [f"CAST({value!r} AS DOUBLE) AS {name}" for name, value in expand(np.exp(point)).items()]
+        return f"struct({i} AS id, {', '.join(values)})"
 
     def evaluate(points: list[np.ndarray]) -> np.ndarray:
-        rows = [dict(expand(np.exp(point)), id=i) for i, point in enumerate(points)]
-        names = list(rows[0])
-        literal = F.array(*[F.struct(*[F.lit(row[n]).alias(n) for n in names]) for row in rows])
-        sums = (
-            weighted.select("*", F.inline(literal))
-            .groupBy("id")
-            .agg((F.sum(likelihood({n: F.col(n) for n in names}) * F.col("w")) / F.sum("w")).alias("mean"))
-            .collect()
-        )
+        candidates = ", ".join(struct(i, point) for i, point in enumerate(points))
+        sums = weighted.selectExpr("*", f"inline(array({candidates}))").groupBy("id").agg(mean.alias("mean")).collect()
         means = np.full(len(points), -math.inf)
         for row in sums:
             if row["mean"] is not None and math.isfinite(row["mean"]):
@@ -52,7 +51,7 @@ def _objective(weighted: DataFrame, expand: Callable[[np.ndarray], dict[str, flo
 
 
 def minimise(
-    evaluate: Callable[[list[np.ndarray]], np.ndarray], start: np.ndarray, rounds: int = 60, tolerance: float = 1e-9
+    evaluate: Callable[[list[np.ndarray]], np.ndarray], start: np.ndarray, rounds: int = 100, tolerance: float = 1e-7
 ) -> np.ndarray:
     """Newton's method with finite differences; directions of negative curvature are turned downhill."""
     d, h = len(start), 1e-3
@@ -102,7 +101,7 @@ def fit_bgnbd(inputs: DataFrame, penalty: float = PENALTY) -> BgNbd:
     )
 
     def expand(theta: np.ndarray) -> dict[str, float]:
-        r, alpha, a, b = (float(v) for v in theta)
+        r, alpha, a, b = (float(v) for v in theta[:4])
         return {
             "r": r,
             "alpha": alpha,
@@ -134,7 +133,7 @@ def fit_gamma_gamma(inputs: DataFrame, penalty: float = PENALTY) -> GammaGamma:
     )
 
     def expand(theta: np.ndarray) -> dict[str, float]:
-        p, q, v = (float(t) for t in theta)
+        p, q, v = (float(t) for t in theta[:3])
         return {"p": p, "q": q, "v": v, "lg_q": math.lgamma(q)}
 
     def likelihood(p):

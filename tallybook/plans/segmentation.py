@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from multiprocessing.pool import ThreadPool
+
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -19,19 +21,30 @@ def scaled_vectors(customers: DataFrame) -> DataFrame:
 
 
 def _k_means(k: int, seed: int) -> KMeans:
-    return KMeans(k=k, seed=seed, maxIter=100, featuresCol="features", predictionCol="Cluster")
+    # the scaled metrics have variance 1: centres that move by less than 0.01 are at rest
+    return KMeans(k=k, seed=seed, maxIter=300, tol=0.01, featuresCol="features", predictionCol="Cluster")
+
 
+def elbow(customers: DataFrame, largest_k: int = 10, seed: int = 42, parallelism: int = 4) -> DataFrame:
+    """Sum of squared distances to the nearest centre for 1 to `largest_k` clusters.
 
-def elbow(customers: DataFrame, largest_k: int = 10, seed: int = 42) -> DataFrame:
-    """Sum of squared distances to the nearest centre for 1 to `largest_k` clusters."""
+    The fits do not depend on each other: `parallelism` of them run at the same time.
+    """
+    spark = customers.sparkSession
     vectors = scaled_vectors(customers)
+
+    @inheritable_thread_target(spark)
+    def inertia(k: int) -> tuple[int, float]:
+        return k, _k_means(k, seed).fit(vectors).summary.trainingCost
+
     try:
         squares = sum(F.var_pop(f"{c}_Scaled") for c in RFM_METRICS) * F.count(F.lit(1))
-        inertia = [(1, vectors.agg(squares).first()[0])]
-        inertia += [(k, _k_means(k, seed).fit(vectors).summary.trainingCost) for k in range(2, largest_k + 1)]
+        rows = [(1, vectors.agg(squares).first()[0])]
+        with ThreadPool(parallelism) as pool:
+            rows += pool.map(inertia, range(2, largest_k + 1))
     finally:
         vectors.unpersist()
-    return customers.sparkSession.createDataFrame(inertia, "k int, inertia double")
+    return spark.createDataFrame(rows, "k int, inertia double")
 
 
 def cluster(customers: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
