@@ -21,6 +21,7 @@ from tallybook.plans import forecast as forecast_plan  # noqa: E402
 from tallybook.plans import forests, maximum_likelihood, segmentation  # noqa: E402
 from tallybook.sources import sinks  # noqa: E402
 from tallybook.sources import transactions as sources  # noqa: E402
+from tallybook.sources.staging import shared_folder  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 BGNBD = clv.BgNbd(**oracle.BGNBD)
@@ -186,20 +187,20 @@ def _gg_fit(tx: DataFrame) -> DataFrame:
 
 
 def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = sinks.shared_folder(spark)
+    path = shared_folder(spark)
     sinks.write_csv(sources.star_schema_transactions(spark, sf_dir), path)
     return plain(rfm.rfm(clean(sources.read_transactions(spark, path))))
 
 
 def _staged_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = sinks.shared_folder(spark)
+    path = shared_folder(spark)
     sources.stage_transactions(transactions(spark, sf_dir), path)
     return plain(overview.daily_revenue(sources.read_staged_transactions(spark, path)))
 
 
 def _model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of a forest that was saved and read back."""
-    path = sinks.shared_folder(spark)
+    path = shared_folder(spark)
     features = churn_plan.labelled(transactions(spark, sf_dir))
     fitted = churn_plan.train(features)
     if fitted.forest is not None:

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.functions.expressions import money
+from tallybook.sources.staging import stage
 
 
 def basket(tx: DataFrame) -> DataFrame:
@@ -220,19 +221,24 @@ def _signatures(pairs: DataFrame, entity: str, item: str) -> tuple[DataFrame, Da
         F.bit_xor(F.xxhash64(F.lit("second"), F.col(item))).alias("H2"),
     )
     names = prints.groupBy("Size", "H1", "H2").agg(F.min(entity).alias("Signature"))
-    members = prints.join(names, ["Size", "H1", "H2"]).select(entity, "Signature", "Size")
-    items = pairs.withColumnRenamed(entity, "Signature").join(names.select("Signature"), "Signature", "left_semi")
-    return members, items
+    members = stage(prints.join(names, ["Size", "H1", "H2"]).select(entity, "Signature", "Size"))
+    copies = members.filter(F.col(entity) != F.col("Signature"))
+    items = pairs if copies.isEmpty() else pairs.join(copies.select(entity), entity, "left_anti")
+    return members, items.select(F.col(entity).alias("Signature"), item)
 
 
-def _split_hot(pairs: DataFrame, item: str, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs whose item is held at most `limit` times, and the pairs of hotter items."""
+def _split_hot(pairs: DataFrame, item: str, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs whose item is held at most `limit` times, and the pairs of hotter items, if there are any."""
     hot = pairs.groupBy(item).agg(F.count(F.lit(1)).alias("Holders")).filter(F.col("Holders") > limit).select(item)
-    return pairs.join(hot, item, "left_anti"), pairs.join(hot, item, "left_semi")
+    if hot.isEmpty():
+        return pairs, None
+    hot = stage(hot)
+    light = pairs.join(hot, item, "left_anti").select(*pairs.columns)
+    return light, stage(pairs.join(hot, item, "left_semi").select(*pairs.columns))
 
 
-def item_scores(holdings: DataFrame, pair_counts: DataFrame, key: str, part: int = 1000) -> DataFrame:
-    """Sum over the held products of their co-occurrence with each other product.
+def _partner_counts(holdings: DataFrame, pair_counts: DataFrame, key: str, part: int = 1000) -> DataFrame:
+    """(key, StockCode, n) for every held product and each of its partners.
 
     The partners of a product are spread over parts of about `part` rows, so that a widely held
     product with many partners is not joined in one task.
@@ -240,13 +246,14 @@ def item_scores(holdings: DataFrame, pair_counts: DataFrame, key: str, part: int
     parts = pair_counts.groupBy("A").agg(F.ceil(F.count(F.lit(1)) / part).alias("Parts"))
     spread = pair_counts.join(parts, "A").select("A", F.pmod(F.xxhash64("B"), F.col("Parts")).alias("Part"), "B", "n")
     asked = holdings.join(parts, holdings.StockCode == parts.A).select(
-        key, "A", F.explode(F.sequence(F.lit(0), F.col("Parts") - 1)).alias("Part")
-    )
-    return (
-        asked.join(spread, ["A", "Part"])
-        .groupBy(key, F.col("B").alias("StockCode"))
-        .agg(F.sum("n").alias("Score"))
+        key, "A", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("Parts") - 1)).alias("Part")
     )
+    return asked.join(spread, ["A", "Part"]).select(key, F.col("B").alias("StockCode"), "n")
+
+
+def item_scores(holdings: DataFrame, pair_counts: DataFrame, key: str) -> DataFrame:
+    """Sum over the held products of their co-occurrence with each other product."""
+    return _partner_counts(holdings, pair_counts, key).groupBy(key, "StockCode").agg(F.sum("n").alias("Score"))
 
 
 def item_recommendations(
@@ -257,21 +264,32 @@ def item_recommendations(
     `selected` (a table of CustomerID) limits the customers asked for. Products owned by more than
     `hot_owners` of these customers are scored by signature; the result does not depend on it.
     """
-    pair_counts = co_occurrence(basket(tx))
+    pair_counts = stage(co_occurrence(basket(tx)))
     owned = owned_products(tx)
     if selected is not None:
         owned = owned.join(selected.select("CustomerID"), "CustomerID", "left_semi")
-
+    owned = stage(owned)
     light, hot = _split_hot(owned, "StockCode", hot_owners)
+
+    # candidates that light products lead to; owned products join in as marks, which saves a join
+    marks = owned.select("CustomerID", "StockCode", F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("Owned"))
+    in_full = (
+        _partner_counts(light, pair_counts, "CustomerID")
+        .withColumn("Owned", F.lit(False))
+        .unionByName(marks)
+        .groupBy("CustomerID", "StockCode")
+        .agg(F.sum("n").alias("Score"), F.max("Owned").alias("Owned"))
+        .filter(~F.col("Owned"))
+        .drop("Owned")
+    )
+    if hot is None:
+        return _best(in_full, k)
+
     members, signature_items = _signatures(hot, "CustomerID", "StockCode")
     signature_of = members.select("CustomerID", "Signature")
-    hot_scores = item_scores(signature_items, pair_counts, "Signature").withColumnRenamed("Score", "HotScore")
-
-    # candidates that light products lead to, scored in full
+    hot_scores = stage(item_scores(signature_items, pair_counts, "Signature").withColumnRenamed("Score", "HotScore"))
     in_full = (
-        item_scores(light, pair_counts, "CustomerID")
-        .join(owned, ["CustomerID", "StockCode"], "left_anti")
-        .join(signature_of, "CustomerID", "left")
+        in_full.join(signature_of, "CustomerID", "left")
         .join(hot_scores, ["Signature", "StockCode"], "left")
         .select("CustomerID", "StockCode", (F.col("Score") + F.coalesce("HotScore", F.lit(0))).alias("Score"))
     )
@@ -325,7 +343,7 @@ def similar_customers(
     for; use it for a handful of them. Products in more than `hot_owners` distinct product sets
     are compared by signature; the result does not depend on it.
     """
-    owned = owned_products(tx)
+    owned = stage(owned_products(tx))
     if selected is not None:
         return _similar_to_few(owned, selected, k)
 
@@ -335,78 +353,86 @@ def similar_customers(
     sets = sets.withColumnRenamed("Signature", "Profile")
     by_id = F.row_number().over(Window.partitionBy("Profile").orderBy("CustomerID"))
     standing = profiles.withColumn("Place", by_id).filter(F.col("Place") <= k + 1).drop("Place")
-    sizes = profiles.filter(F.col("CustomerID") == F.col("Profile")).select("Profile", "Size")
+    closest = [F.desc(_closeness(F.col("Common"), F.col("OtherSize"))), F.asc("OtherID")]
+
+    def nearest(candidates: DataFrame, to: str) -> DataFrame:
+        # k + 1, because a member may not be its own neighbour
+        place = F.row_number().over(Window.partitionBy(to).orderBy(*closest))
+        return candidates.withColumn("Place", place).filter(F.col("Place") <= k + 1)
 
+    # candidates that share light products
     light, hot = _split_hot(sets, "StockCode", hot_owners)
-    p = light.select(F.col("Profile").alias("P"), "StockCode")
-    q = light.select(F.col("Profile").alias("Q"), "StockCode")
     halves = (
-        p.join(q, "StockCode")
+        light.toDF("P", "StockCode")
+        .join(light.toDF("Q", "StockCode"), "StockCode")
         .filter(F.col("P") < F.col("Q"))
         .groupBy("P", "Q")
         .agg(F.count(F.lit(1)).alias("Common"))
     )
     touched = _both_ways(halves, "P", "Q", "Common")
 
-    # hot products: how many two signatures share
-    hot_members, hot_sets = _signatures(hot, "Profile", "StockCode")
-    signature_of = hot_members.select("Profile", "Signature")
-    s = hot_sets.select(F.col("Signature").alias("S"), "StockCode")
-    t = hot_sets.select(F.col("Signature").alias("T"), "StockCode")
-    hot_common = s.join(t, "StockCode").groupBy("S", "T").agg(F.count(F.lit(1)).alias("HotCommon"))
-
-    closest = [F.desc(_closeness(F.col("Common"), F.col("OtherSize"))), F.asc("OtherID")]
-
-    def nearest(candidates: DataFrame, to: str) -> DataFrame:
-        # k + 1, because a member may not be its own neighbour
-        place = F.row_number().over(Window.partitionBy(to).orderBy(*closest))
-        return candidates.withColumn("Place", place).filter(F.col("Place") <= k + 1)
+    if hot is not None:
+        # what two profiles share of the hot products depends on their signatures only
+        hot_members, hot_sets = _signatures(hot, "Profile", "StockCode")
+        signature_of = hot_members.select("Profile", "Signature")
+        hot_common = stage(
+            hot_sets.toDF("S", "StockCode")
+            .join(hot_sets.toDF("T", "StockCode"), "StockCode")
+            .groupBy("S", "T")
+            .agg(F.count(F.lit(1)).alias("HotCommon"))
+        )
+        touched = (
+            touched.join(signature_of.toDF("P", "S"), "P", "left")
+            .join(signature_of.toDF("Q", "T"), "Q", "left")
+            .join(hot_common, ["S", "T"], "left")
+            .select("P", "Q", (F.col("Common") + F.coalesce("HotCommon", F.lit(0))).alias("Common"))
+        )
 
-    # candidates that share light products, counted in full, and the profile's own members
-    itself = sizes.select(F.col("Profile").alias("P"), F.col("Profile").alias("Q"), F.col("Size").alias("Common"))
+    # a profile's members are each other's nearest; every profile is spelled out by its first members
+    itself = profiles.filter(F.col("CustomerID") == F.col("Profile")).select(
+        F.col("Profile").alias("P"), F.col("Profile").alias("Q"), F.col("Size").alias("Common")
+    )
     in_full = (
-        touched.join(signature_of.toDF("P", "S"), "P", "left")
-        .join(signature_of.toDF("Q", "T"), "Q", "left")
-        .join(hot_common, ["S", "T"], "left")
-        .select("P", "Q", (F.col("Common") + F.coalesce("HotCommon", F.lit(0))).alias("Common"))
-        .unionByName(itself)
+        touched.unionByName(itself)
         .join(standing.toDF("OtherID", "Q", "OtherSize"), "Q")
         .select("P", "OtherID", "OtherSize", "Common")
     )
+    best = nearest(in_full, "P")
+
+    if hot is not None:
+        # candidates by hot products alone: the first members of each (signature, size) class;
+        # both lists are cut before they are merged, as in _merge_best
+        in_class = Window.partitionBy("Signature", "Size").orderBy("CustomerID")
+        class_firsts = (
+            standing.join(signature_of, "Profile")
+            .withColumn("Place", F.row_number().over(in_class))
+            .filter(F.col("Place") <= k + 1)
+            .select(
+                F.col("Signature").alias("T"), F.col("CustomerID").alias("OtherID"), F.col("Size").alias("OtherSize")
+            )
+        )
+        by_signature = hot_common.join(class_firsts, "T").select(
+            "S", "OtherID", "OtherSize", F.col("HotCommon").alias("Common")
+        )
+        from_hot = (
+            signature_of.toDF("P", "S")
+            .join(nearest(by_signature, "S").drop("Place"), "S")
+            .select("P", "OtherID", "OtherSize", "Common")
+        )
+        merged = (
+            best.drop("Place")
+            .unionByName(from_hot)
+            .groupBy("P", "OtherID", "OtherSize")
+            .agg(F.max("Common").alias("Common"))
+        )
+        best = nearest(merged, "P")
 
-    # candidates by hot products alone: the first members of each (signature, size) class
-    in_class = Window.partitionBy("Signature", "Size").orderBy("CustomerID")
-    class_firsts = (
-        standing.join(signature_of, "Profile")
-        .withColumn("Place", F.row_number().over(in_class))
-        .filter(F.col("Place") <= k + 1)
-        .select(F.col("Signature").alias("T"), F.col("CustomerID").alias("OtherID"), F.col("Size").alias("OtherSize"))
-    )
-    by_signature = hot_common.join(class_firsts, "T").select(
-        "S", "OtherID", "OtherSize", F.col("HotCommon").alias("Common")
-    )
-    from_hot = (
-        signature_of.toDF("P", "S")
-        .join(nearest(by_signature, "S").drop("Place"), "S")
-        .select("P", "OtherID", "OtherSize", "Common")
-    )
-
-    # both lists are cut before they are merged, as in _merge_best
-    merged = (
-        nearest(in_full, "P")
-        .drop("Place")
-        .unionByName(from_hot)
-        .groupBy("P", "OtherID", "OtherSize")
-        .agg(F.max("Common").alias("Common"))
-    )
-    best = (
-        nearest(merged, "P")
-        .groupBy("P")
-        .agg(F.sort_array(F.collect_list(F.struct("Place", "OtherID", "OtherSize", "Common"))).alias("List"))  # k + 1
+    lists = best.groupBy("P").agg(
+        F.sort_array(F.collect_list(F.struct("Place", "OtherID", "OtherSize", "Common"))).alias("List")  # k + 1
     )
     others = F.slice(F.filter("List", lambda o: o["OtherID"] != F.col("CustomerID")), 1, k)
     return (
-        profiles.join(best, profiles.Profile == best.P)
+        profiles.join(lists, profiles.Profile == lists.P)
         .select("CustomerID", "Size", F.posexplode(others).alias("Rank", "o"))
         .select(
             "CustomerID",

@@ -1,12 +1,9 @@
-"""Exports: CSV folders for result tables, saved ML pipelines, and the shared work folder."""
+"""Exports: CSV folders for result tables and saved ML pipelines."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 
 def write_csv(df: DataFrame, path: str, skip_empty: bool = False) -> bool:
@@ -41,16 +38,3 @@ def save_model(model: PipelineModel, path: str) -> None:
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new path under the folder all executors share (`spark.checkpoint.dir`).
-
-    Where the setting is missing, a local session gets a temporary folder; a cluster must name one.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="tallybook-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
