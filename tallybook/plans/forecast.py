@@ -35,7 +35,8 @@ def analyse(tx: DataFrame, horizon: int = 30, depth: int = 10) -> RevenueForecas
     if past.limit(2).count() < 2:
         empty = future.filter(F.lit(False)).withColumn("Predicted_Revenue", F.lit(None).cast("double"))
         return RevenueForecast(series, None, None, None, None, empty)
-    model = forests.fit_regressor(past, FORECAST_FEATURES, "Revenue", depth)
+    # the windows left all days in one partition; a few are enough for the trees of a daily series
+    model = forests.fit_regressor(past.repartition(8, "Date"), FORECAST_FEATURES, "Revenue", depth)
     tested = ops.actual_and_predicted(model.transform(recent))
     predicted = model.transform(future).drop("features").withColumnRenamed("prediction", "Predicted_Revenue")
     return RevenueForecast(
