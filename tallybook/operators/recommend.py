@@ -44,27 +44,42 @@ def _pairs(tx: DataFrame, key: str) -> DataFrame:
     )
 
 
-def co_occurrence(baskets: DataFrame, chunk: int = 1000) -> DataFrame:
-    """In how many invoices two products appear together, for every pair that does, in both orders.
+def spread_join(left: DataFrame, right: DataFrame, key: str, part: int = 2_000) -> DataFrame:
+    """Inner join on `key` that divides the right rows of a large key into parts of about `part` rows.
 
-    An invoice with more than `chunk` products is joined with itself in parts. One invoice never
-    yields more pairs than the result has rows, and counts are combined before the shuffle, so the
-    work follows the baskets and the result.
+    The left rows of such a key are repeated once per part, so its matches are made by many tasks.
+    Adaptive execution does not help there: it looks at the bytes that go in, not at the rows that
+    come out.
     """
-    in_basket = Window.partitionBy("InvoiceNo")
-    sized = (
-        baskets.withColumn("Size", F.count(F.lit(1)).over(in_basket))
-        .filter(F.col("Size") > 1)
-        .withColumn("Parts", F.ceil(F.col("Size") / chunk))
+    large = (
+        right.groupBy(key)
+        .agg(F.ceil(F.count(F.lit(1)) / part).alias("Parts"))
+        .filter(F.col("Parts") > 1)
     )
-    left = sized.select(
-        "InvoiceNo", F.col("StockCode").alias("A"), F.pmod(F.xxhash64("StockCode"), F.col("Parts")).alias("Part")
+    parts = F.coalesce("Parts", F.lit(1).cast("bigint"))
+    divided = right.join(large, key, "left").select(
+        *right.columns, F.pmod(F.xxhash64(*right.columns), parts).alias("Part")
     )
-    right = sized.select(
-        "InvoiceNo", F.col("StockCode").alias("B"), F.explode(F.sequence(F.lit(0), F.col("Parts") - 1)).alias("Part")
+    repeated = left.join(large, key, "left").select(
+        *left.columns, F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("Part")
     )
+    return repeated.join(divided, [key, "Part"]).drop("Part")
+
+
+def co_occurrence(baskets: DataFrame, part: int = 2_000) -> DataFrame:
+    """In how many invoices two products appear together, for every pair that does, in both orders.
+
+    One invoice never yields more pairs than the result has rows, an invoice with more than `part`
+    products is paired in parts by several tasks, and counts are combined before the shuffle: the
+    work follows the baskets and the result.
+    """
     halves = (
-        left.join(right, ["InvoiceNo", "Part"])
+        spread_join(
+            baskets.select("InvoiceNo", F.col("StockCode").alias("A")),
+            baskets.select("InvoiceNo", F.col("StockCode").alias("B")),
+            "InvoiceNo",
+            part,
+        )
         .filter(F.col("A") < F.col("B"))
         .groupBy("A", "B")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -237,18 +252,10 @@ def _split_hot(pairs: DataFrame, item: str, limit: int) -> tuple[DataFrame, Data
     return light, stage(pairs.join(hot, item, "left_semi").select(*pairs.columns))
 
 
-def _partner_counts(holdings: DataFrame, pair_counts: DataFrame, key: str, part: int = 1000) -> DataFrame:
-    """(key, StockCode, n) for every held product and each of its partners.
-
-    The partners of a product are spread over parts of about `part` rows, so that a widely held
-    product with many partners is not joined in one task.
-    """
-    parts = pair_counts.groupBy("A").agg(F.ceil(F.count(F.lit(1)) / part).alias("Parts"))
-    spread = pair_counts.join(parts, "A").select("A", F.pmod(F.xxhash64("B"), F.col("Parts")).alias("Part"), "B", "n")
-    asked = holdings.join(parts, holdings.StockCode == parts.A).select(
-        key, "A", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("Parts") - 1)).alias("Part")
-    )
-    return asked.join(spread, ["A", "Part"]).select(key, F.col("B").alias("StockCode"), "n")
+def _partner_counts(holdings: DataFrame, pair_counts: DataFrame, key: str) -> DataFrame:
+    """(key, StockCode, n) for every held product and each of its partners."""
+    held = holdings.select(key, F.col("StockCode").alias("A"))
+    return spread_join(held, pair_counts, "A").select(key, F.col("B").alias("StockCode"), "n")
 
 
 def item_scores(holdings: DataFrame, pair_counts: DataFrame, key: str) -> DataFrame:
@@ -353,6 +360,7 @@ def similar_customers(
     sets = sets.withColumnRenamed("Signature", "Profile")
     by_id = F.row_number().over(Window.partitionBy("Profile").orderBy("CustomerID"))
     standing = profiles.withColumn("Place", by_id).filter(F.col("Place") <= k + 1).drop("Place")
+    other = [F.col("CustomerID").alias("OtherID"), F.col("Size").alias("OtherSize")]
     closest = [F.desc(_closeness(F.col("Common"), F.col("OtherSize"))), F.asc("OtherID")]
 
     def nearest(candidates: DataFrame, to: str) -> DataFrame:
@@ -360,68 +368,70 @@ def similar_customers(
         place = F.row_number().over(Window.partitionBy(to).orderBy(*closest))
         return candidates.withColumn("Place", place).filter(F.col("Place") <= k + 1)
 
-    # candidates that share light products
+    # candidates that share light products: at most hot_owners^2 / 2 pairs per product
     light, hot = _split_hot(sets, "StockCode", hot_owners)
     halves = (
-        light.toDF("P", "StockCode")
-        .join(light.toDF("Q", "StockCode"), "StockCode")
+        light.select(F.col("Profile").alias("P"), "StockCode")
+        .join(light.select(F.col("Profile").alias("Q"), "StockCode"), "StockCode")
         .filter(F.col("P") < F.col("Q"))
         .groupBy("P", "Q")
         .agg(F.count(F.lit(1)).alias("Common"))
     )
-    touched = _both_ways(halves, "P", "Q", "Common")
 
     if hot is not None:
         # what two profiles share of the hot products depends on their signatures only
         hot_members, hot_sets = _signatures(hot, "Profile", "StockCode")
         signature_of = hot_members.select("Profile", "Signature")
-        hot_common = stage(
-            hot_sets.toDF("S", "StockCode")
-            .join(hot_sets.toDF("T", "StockCode"), "StockCode")
-            .groupBy("S", "T")
-            .agg(F.count(F.lit(1)).alias("HotCommon"))
-        )
-        touched = (
-            touched.join(signature_of.toDF("P", "S"), "P", "left")
-            .join(signature_of.toDF("Q", "T"), "Q", "left")
-            .join(hot_common, ["S", "T"], "left")
-            .select("P", "Q", (F.col("Common") + F.coalesce("HotCommon", F.lit(0))).alias("Common"))
-        )
+        halves = _add_hot_common(stage(halves), signature_of, hot_sets)
 
     # a profile's members are each other's nearest; every profile is spelled out by its first members
     itself = profiles.filter(F.col("CustomerID") == F.col("Profile")).select(
         F.col("Profile").alias("P"), F.col("Profile").alias("Q"), F.col("Size").alias("Common")
     )
     in_full = (
-        touched.unionByName(itself)
-        .join(standing.toDF("OtherID", "Q", "OtherSize"), "Q")
+        _both_ways(halves, "P", "Q", "Common")
+        .unionByName(itself)
+        .join(standing.select(F.col("Profile").alias("Q"), *other), "Q")
         .select("P", "OtherID", "OtherSize", "Common")
     )
     best = nearest(in_full, "P")
 
     if hot is not None:
-        # candidates by hot products alone: the first members of each (signature, size) class;
-        # both lists are cut before they are merged, as in _merge_best
+        best = stage(best)
+        # candidates by hot products alone are at most as close as the number of hot products owned:
+        # whoever has k + 1 closer ones already needs none of them
+        worst = best.filter(F.col("Place") == k + 1).select(
+            F.col("P").alias("Profile"), _closeness(F.col("Common"), F.col("OtherSize")).alias("Worst")
+        )
+        still_open = (
+            hot_members.join(worst, "Profile", "left")
+            .filter(F.col("Worst").isNull() | (F.col("Size") >= F.col("Worst")))
+            .select("Profile", "Signature")
+        )
+        asked = hot_sets.join(still_open.select("Signature"), "Signature", "left_semi")
+        hot_common = (
+            spread_join(
+                asked.select(F.col("Signature").alias("S"), "StockCode"),
+                hot_sets.select(F.col("Signature").alias("T"), "StockCode"),
+                "StockCode",
+            )
+            .groupBy("S", "T")
+            .agg(F.count(F.lit(1)).alias("Common"))
+        )
+        # the first members of each (signature, size) class stand for the class
         in_class = Window.partitionBy("Signature", "Size").orderBy("CustomerID")
         class_firsts = (
             standing.join(signature_of, "Profile")
             .withColumn("Place", F.row_number().over(in_class))
             .filter(F.col("Place") <= k + 1)
-            .select(
-                F.col("Signature").alias("T"), F.col("CustomerID").alias("OtherID"), F.col("Size").alias("OtherSize")
-            )
-        )
-        by_signature = hot_common.join(class_firsts, "T").select(
-            "S", "OtherID", "OtherSize", F.col("HotCommon").alias("Common")
-        )
-        from_hot = (
-            signature_of.toDF("P", "S")
-            .join(nearest(by_signature, "S").drop("Place"), "S")
-            .select("P", "OtherID", "OtherSize", "Common")
+            .select(F.col("Signature").alias("T"), *other)
         )
+        hot_list = nearest(hot_common.join(class_firsts, "T").drop("T"), "S").drop("Place")
+        from_hot = still_open.select(F.col("Profile").alias("P"), F.col("Signature").alias("S")).join(hot_list, "S")
+        # both lists are cut before they are merged, as in _merge_best
         merged = (
             best.drop("Place")
-            .unionByName(from_hot)
+            .unionByName(from_hot.drop("S"))
             .groupBy("P", "OtherID", "OtherSize")
             .agg(F.max("Common").alias("Common"))
         )
@@ -443,6 +453,21 @@ def similar_customers(
     )
 
 
+def _add_hot_common(halves: DataFrame, signature_of: DataFrame, hot_sets: DataFrame) -> DataFrame:
+    """Add to Common of (P, Q) what their signatures share, computed once per pair of signatures."""
+    signed = halves.join(signature_of.toDF("P", "S"), "P", "left").join(signature_of.toDF("Q", "T"), "Q", "left")
+    wanted = signed.filter(F.col("S").isNotNull() & F.col("T").isNotNull()).select("S", "T").distinct()
+    shared = (
+        spread_join(wanted, hot_sets.select(F.col("Signature").alias("S"), "StockCode"), "S")
+        .join(hot_sets.select(F.col("Signature").alias("T"), "StockCode"), ["T", "StockCode"])
+        .groupBy("S", "T")
+        .agg(F.count(F.lit(1)).alias("HotCommon"))
+    )
+    return signed.join(shared, ["S", "T"], "left").select(
+        "P", "Q", (F.col("Common") + F.coalesce("HotCommon", F.lit(0))).alias("Common")
+    )
+
+
 def _similar_to_few(owned: DataFrame, selected: DataFrame, k: int) -> DataFrame:
     """Neighbours of a few customers: one pass over all purchases, no comparison among the others."""
     sizes = owned.groupBy("CustomerID").agg(F.count(F.lit(1)).alias("Size"))
@@ -476,11 +501,14 @@ SCORE_STEP = 1e-12
 
 def user_recommendations(tx: DataFrame, neighbours: DataFrame, k: int = 10) -> DataFrame:
     """The k products that each customer's neighbours own and the customer does not, by summed similarity."""
-    owned = owned_products(tx)
+    owned = stage(owned_products(tx))
     weight = F.round(F.col("Similarity") / SCORE_STEP).cast("bigint")
     scored = (
-        neighbours.select("CustomerID", F.col("SimilarID").alias("Other"), weight.alias("Weight"))
-        .join(owned.toDF("Other", "StockCode"), "Other")
+        spread_join(
+            neighbours.select("CustomerID", F.col("SimilarID").alias("Other"), weight.alias("Weight")),
+            owned.select(F.col("CustomerID").alias("Other"), "StockCode"),
+            "Other",
+        )
         .groupBy("CustomerID", "StockCode")
         .agg(F.sum("Weight").alias("Weight"))
         .join(owned, ["CustomerID", "StockCode"], "left_anti")

@@ -107,6 +107,14 @@ def test_co_occurrence_of_a_large_basket(spark, chunk):
     assert counts["P00", "P01"] == 2 and counts["P02", "P03"] == 1
 
 
+@pytest.mark.parametrize("part", [1, 3, 1000])
+def test_spread_join_equals_join(spark, part):
+    left = spark.createDataFrame([(k, i) for k in "aab" for i in range(4)] + [("z", 9)], "k string, l int")
+    right = spark.createDataFrame([("a", i) for i in range(20)] + [("b", 1), ("c", 2)], "k string, r int")
+    got = sorted(map(tuple, rec.spread_join(left, right, "k", part).select("k", "l", "r").collect()))
+    assert got == sorted(map(tuple, left.join(right, "k").select("k", "l", "r").collect()))
+
+
 def test_one_description_or_all(spark):
     lines = [("1", "A", "old", 1, 1), ("2", "A", "new", 1, 1), ("3", "A", "new", 1, 1), ("4", "B", None, 1, 1)]
     tx = spark.createDataFrame(lines, COLUMNS).selectExpr("*", "CAST(1 AS DECIMAL(18,4)) AS TotalPrice")
