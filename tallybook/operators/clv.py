@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tallybook.constants import CLV_LABELS
 from tallybook.functions.expressions import ln_gamma, money, ratio, whole_days
 from tallybook.functions.quantiles import exact_quantiles
+from tallybook.sources.staging import stage
 
 
 class BgNbd(NamedTuple):
@@ -39,13 +40,11 @@ def customer_base(tx: DataFrame) -> DataFrame:
 
     Recency is days since the last purchase and T the days from first to last purchase plus one;
     the models use ModelRecency (first to last) and ModelT (first to the end of the log) instead,
-    which is how they define these inputs.
+    which is how they define these inputs. The log is read once: it ends at the latest of the
+    customers' last dates.
     """
-    end = tx.agg(F.max("InvoiceDate")).scalar()
-    first, last = F.col("First"), F.col("Last")
-    return (
-        tx.groupBy("CustomerID")
-        .agg(
+    per_customer = stage(
+        tx.groupBy("CustomerID").agg(
             F.min("InvoiceDate").alias("First"),
             F.max("InvoiceDate").alias("Last"),
             F.count_distinct("InvoiceNo").alias("Frequency"),
@@ -53,17 +52,18 @@ def customer_base(tx: DataFrame) -> DataFrame:
             F.count("TotalPrice").alias("LineCount"),
             ratio(F.sum("TotalPrice"), F.count("TotalPrice")).alias("AvgOrderValue"),
         )
-        .select(
-            "CustomerID",
-            whole_days(end, last).alias("Recency"),
-            "Frequency",
-            "MonetaryValue",
-            "LineCount",
-            "AvgOrderValue",
-            (whole_days(last, first) + 1).alias("T"),
-            whole_days(last, first).alias("ModelRecency"),
-            whole_days(end, first).alias("ModelT"),
-        )
+    )
+    first, last, end = F.col("First"), F.col("Last"), F.col("End")
+    return per_customer.withColumn("End", per_customer.agg(F.max("Last")).scalar()).select(
+        "CustomerID",
+        whole_days(end, last).alias("Recency"),
+        "Frequency",
+        "MonetaryValue",
+        "LineCount",
+        "AvgOrderValue",
+        (whole_days(last, first) + 1).alias("T"),
+        whole_days(last, first).alias("ModelRecency"),
+        whole_days(end, first).alias("ModelT"),
     )
 
 

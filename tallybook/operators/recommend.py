@@ -97,12 +97,29 @@ def product_lookup(tx: DataFrame) -> DataFrame:
     return tx.select("StockCode", "Description").distinct()
 
 
+def _per_description(tx: DataFrame) -> DataFrame:
+    """Counts and sums per (StockCode, Description), from which descriptions and metrics follow."""
+    return (
+        tx.filter(F.col("StockCode").isNotNull())
+        .groupBy("StockCode", "Description")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count("Quantity").alias("Lines"),
+            F.sum("Quantity").alias("Quantity"),
+            F.sum("TotalPrice").alias("TotalPrice"),
+        )
+    )
+
+
 def product_descriptions(tx: DataFrame) -> DataFrame:
     """One description per code: the one on most lines, then the alphabetically first."""
+    counted = tx.filter(F.col("StockCode").isNotNull()).groupBy("StockCode", "Description")
+    return _main_description(counted.agg(F.count(F.lit(1)).alias("n")))
+
+
+def _main_description(per_description: DataFrame) -> DataFrame:
     return (
-        tx.filter(F.col("StockCode").isNotNull() & F.col("Description").isNotNull())
-        .groupBy("StockCode", "Description")
-        .agg(F.count(F.lit(1)).alias("n"))
+        per_description.filter(F.col("Description").isNotNull())
         .groupBy("StockCode")
         .agg(F.min_by("Description", F.struct(-F.col("n"), F.col("Description"))).alias("Description"))
     )
@@ -183,16 +200,18 @@ def product_metrics(tx: DataFrame) -> DataFrame:
     """Units, revenue and popularity of each product.
 
     Popularity is the percentile rank of the line count, ties sharing their mean rank, in (0, 1].
-    Ranks are summed over distinct line counts: these are at most sqrt(2 * lines) rows, so the
-    global window stays small, however many products there are.
     """
-    products = (
-        tx.filter(F.col("StockCode").isNotNull())
-        .groupBy("StockCode")
-        .agg(
+    return _metrics(_per_description(tx))
+
+
+def _metrics(per_description: DataFrame) -> DataFrame:
+    """Ranks are summed over distinct line counts: these are at most sqrt(2 * lines) rows, so the
+    global window stays small, however many products there are."""
+    products = stage(
+        per_description.groupBy("StockCode").agg(
             F.sum("Quantity").alias("Quantity"),
             money(F.sum("TotalPrice")).alias("TotalPrice"),
-            F.count("Quantity").alias("Lines"),
+            F.sum("Lines").alias("Lines"),
         )
     )
     up_to_here = Window.orderBy("Lines").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -216,8 +235,12 @@ def describe_products(
 
     With `fanout`, a code with several descriptions repeats its row for each of them.
     """
-    descriptions = product_lookup(tx) if fanout else product_descriptions(tx)
-    metrics = product_metrics(tx)
+    per_description = stage(_per_description(tx))
+    if fanout:
+        descriptions = per_description.select("StockCode", "Description")
+    else:
+        descriptions = _main_description(per_description)
+    metrics = _metrics(per_description)
     if not popularity:
         metrics = metrics.drop("Popularity")
     return recommended.join(descriptions, "StockCode", "left").join(metrics, "StockCode", "left")

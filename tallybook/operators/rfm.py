@@ -7,24 +7,26 @@ from pyspark.sql import functions as F
 
 from tallybook.constants import RFM_METRICS, SEGMENT_NAMES
 from tallybook.functions.expressions import money, ratio, whole_days
+from tallybook.sources.staging import stage
 
 
 def rfm(tx: DataFrame) -> DataFrame:
     """Days since the last purchase (counted from one day after the log ends), invoices and spend.
 
     Spark plans the distinct count over (customer, invoice) first, so even a customer with a large
-    share of all lines is spread over the tasks and combined before the shuffle on CustomerID.
+    share of all lines is spread over the tasks and combined before the shuffle on CustomerID. The
+    log is read once: its last date is the latest of the customers' last dates.
     """
-    snapshot = tx.agg(F.max("InvoiceDate") + F.expr("INTERVAL 1 DAY")).scalar()
-    return (
-        tx.groupBy("CustomerID")
-        .agg(
+    per_customer = stage(
+        tx.groupBy("CustomerID").agg(
             F.max("InvoiceDate").alias("LastPurchase"),
             F.count_distinct("InvoiceNo").alias("Frequency"),
             money(F.sum("TotalPrice")).alias("Monetary"),
         )
-        .select("CustomerID", whole_days(snapshot, F.col("LastPurchase")).alias("Recency"), "Frequency", "Monetary")
     )
+    snapshot = per_customer.agg(F.max("LastPurchase") + F.expr("INTERVAL 1 DAY")).scalar()
+    recency = whole_days(snapshot, F.col("LastPurchase")).alias("Recency")
+    return per_customer.select("CustomerID", recency, "Frequency", "Monetary")
 
 
 def scale(customers: DataFrame, columns: list[str] = RFM_METRICS) -> DataFrame:
