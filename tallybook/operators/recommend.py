@@ -287,18 +287,61 @@ def item_scores(holdings: DataFrame, pair_counts: DataFrame, key: str) -> DataFr
 
 
 def item_recommendations(
-    tx: DataFrame, k: int = 10, selected: DataFrame | None = None, hot_owners: int = 10_000
+    tx: DataFrame,
+    k: int = 10,
+    selected: DataFrame | None = None,
+    include_zero: bool = False,
+    hot_owners: int = 10_000,
 ) -> DataFrame:
     """For each customer the k products not owned that go best with the owned ones.
 
-    `selected` (a table of CustomerID) limits the customers asked for. Products owned by more than
+    `selected` (a table of CustomerID) limits the customers asked for. With `include_zero`, lists
+    shorter than k are filled up with products of score 0, by code. Products owned by more than
     `hot_owners` of these customers are scored by signature; the result does not depend on it.
     """
-    pair_counts = stage(co_occurrence(basket(tx)))
+    baskets = basket(tx)
+    pair_counts = stage(co_occurrence(baskets))
     owned = owned_products(tx)
     if selected is not None:
-        owned = owned.join(selected.select("CustomerID"), "CustomerID", "left_semi")
+        owned = owned.join(selected.select("CustomerID"), "CustomerID", "left_semi").select(*owned.columns)
     owned = stage(owned)
+    best = _best_items(owned, pair_counts, k, hot_owners)
+    if include_zero:
+        best = _fill_with_products(stage(best), owned, baskets.select("StockCode").distinct(), k)
+    return best
+
+
+def _fill_with_products(best: DataFrame, owned: DataFrame, products: DataFrame, k: int) -> DataFrame:
+    """Fill lists shorter than k with the first products that are neither owned nor listed."""
+    taken = owned.unionByName(best.select("CustomerID", "StockCode"))
+    listed = best.groupBy("CustomerID").agg(F.count(F.lit(1)).alias("Listed"))
+    short = stage(
+        taken.groupBy("CustomerID")
+        .agg(F.count(F.lit(1)).alias("Taken"))
+        .join(listed, "CustomerID", "left")
+        .fillna(0, ["Listed"])
+        .filter(F.col("Listed") < k)
+    )
+    reach = short.agg(F.max("Taken")).first()[0]
+    if reach is None:
+        return best
+    # what is missing lies within the first k + (number taken) products
+    first = products.orderBy("StockCode").limit(reach + k)
+    numbered = first.withColumn("Place", F.row_number().over(Window.orderBy("StockCode")).cast("bigint"))
+    rank = F.row_number().over(Window.partitionBy("CustomerID").orderBy("StockCode"))
+    filling = (
+        short.select("CustomerID", "Listed", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("Taken") + k)).alias("Place"))
+        .join(numbered, "Place")
+        .join(taken, ["CustomerID", "StockCode"], "left_anti")
+        .withColumn("Place", rank)
+        .filter(F.col("Place") <= k)
+        .withColumn("Rank", (F.col("Listed") + F.col("Place")).cast("int"))
+        .filter(F.col("Rank") <= k)
+    )
+    return best.unionByName(filling.select("CustomerID", "StockCode", F.lit(0).cast("bigint").alias("Score"), "Rank"))
+
+
+def _best_items(owned: DataFrame, pair_counts: DataFrame, k: int, hot_owners: int) -> DataFrame:
     light, hot = _split_hot(owned, "StockCode", hot_owners)
 
     # candidates that light products lead to; owned products join in as marks, which saves a join
@@ -365,18 +408,54 @@ def _closeness(common: Column, other_size: Column) -> Column:
 
 
 def similar_customers(
-    tx: DataFrame, k: int = 10, selected: DataFrame | None = None, hot_owners: int = 2_000
+    tx: DataFrame,
+    k: int = 10,
+    selected: DataFrame | None = None,
+    include_zero: bool = False,
+    hot_owners: int = 2_000,
 ) -> DataFrame:
     """The k customers with the most similar set of products: common / sqrt(products * products).
 
-    Customers without a common product are no neighbours. `selected` limits the customers asked
-    for; use it for a handful of them. Products in more than `hot_owners` distinct product sets
-    are compared by signature; the result does not depend on it.
+    Customers without a common product are no neighbours, but with `include_zero` they fill up
+    lists shorter than k, by their number. `selected` limits the customers asked for; use it for a
+    handful of them. Products in more than `hot_owners` distinct product sets are compared by
+    signature; the result does not depend on it.
     """
     owned = stage(owned_products(tx))
-    if selected is not None:
-        return _similar_to_few(owned, selected, k)
+    if selected is None:
+        asked = owned.select("CustomerID").distinct()
+        found = _similar_to_all(owned, k, hot_owners)
+    else:
+        asked = owned.join(selected.select("CustomerID"), "CustomerID", "left_semi").select("CustomerID").distinct()
+        found = _similar_to_few(owned, selected, k)
+    if include_zero:
+        found = _fill_with_customers(stage(found), asked, owned.select("CustomerID").distinct(), k)
+    return found
+
+
+def _fill_with_customers(found: DataFrame, asked: DataFrame, everyone: DataFrame, k: int) -> DataFrame:
+    """Fill lists shorter than k with the first customers that are not listed, at similarity 0."""
+    listed = found.groupBy("CustomerID").agg(
+        F.count(F.lit(1)).alias("Listed"), F.collect_list("SimilarID").alias("Known")  # k at most
+    )
+    # fewer than k are known and one is the customer: the first 2k hold all that can be missing
+    first = everyone.orderBy("CustomerID").limit(2 * k).agg(F.sort_array(F.collect_list("CustomerID"))).scalar()
+    short = asked.join(listed, "CustomerID", "left").filter(F.coalesce("Listed", F.lit(0)) < k)
+    known = F.array_append(F.coalesce("Known", F.array().cast("array<bigint>")), F.col("CustomerID"))
+    return found.unionByName(
+        short.select("CustomerID", "Listed", F.array_except(first, known).alias("Free"))
+        .select("CustomerID", "Listed", F.posexplode("Free").alias("Place", "SimilarID"))
+        .select(
+            "CustomerID",
+            (F.coalesce("Listed", F.lit(0)) + F.col("Place") + 1).cast("int").alias("Rank"),
+            "SimilarID",
+            F.lit(0.0).alias("Similarity"),
+        )
+        .filter(F.col("Rank") <= k)
+    )
+
 
+def _similar_to_all(owned: DataFrame, k: int, hot_owners: int) -> DataFrame:
     # customers with equal sets form one profile; its first k + 1 members can stand for all
     members, sets = _signatures(owned, "CustomerID", "StockCode")
     profiles = members.withColumnRenamed("Signature", "Profile")

@@ -22,6 +22,7 @@ def fit_classifier(train: DataFrame, columns: list[str], label: str, depth: int
         seed=SEED,
         maxDepth=depth,
         maxBins=64,
+        maxMemoryInMB=512,
         featureSubsetStrategy="sqrt",
     )
     return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), forest]).fit(train)
@@ -35,6 +36,7 @@ def fit_regressor(train: DataFrame, columns: list[str], label: str, depth: int =
         seed=SEED,
         maxDepth=depth,
         maxBins=64,
+        maxMemoryInMB=512,
         featureSubsetStrategy="all",
     )
     return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), forest]).fit(train)

@@ -84,6 +84,24 @@ def test_similar_customers(spark, seed, hot):
     assert {(r.CustomerID, r.Rank, r.SimilarID, round(r.Similarity, 9)) for r in got} == brute_similar(lines, 3)
 
 
+def test_lists_filled_with_zero_scores(spark):
+    # customer 1 shares nothing with anyone; A-B go together, C and D stand alone
+    lines = [("1", "D", "", 1, 1), ("2", "A", "", 1, 2), ("2", "B", "", 1, 2), ("3", "A", "", 1, 3), ("4", "C", "", 1, 4)]
+    tx = spark.createDataFrame(lines, COLUMNS)
+    items = rec.item_recommendations(tx, k=2, include_zero=True).select("CustomerID", "Rank", "StockCode", "Score")
+    assert {tuple(r) for r in items.collect()} == {
+        (1, 1, "A", 0), (1, 2, "B", 0), (2, 1, "C", 0), (2, 2, "D", 0), (3, 1, "B", 1), (3, 2, "C", 0), (4, 1, "A", 0), (4, 2, "B", 0),
+    }
+    near = rec.similar_customers(tx, k=2, include_zero=True).collect()
+    assert {(r.CustomerID, r.Rank, r.SimilarID) for r in near} == {
+        (1, 1, 2), (1, 2, 3), (2, 1, 3), (2, 2, 1), (3, 1, 2), (3, 2, 1), (4, 1, 1), (4, 2, 2),
+    }
+    assert {r.Similarity for r in near if r.CustomerID in (1, 4)} == {0.0}
+    chosen = spark.createDataFrame([(4,)], "CustomerID bigint")
+    few = rec.similar_customers(tx, k=2, selected=chosen, include_zero=True).collect()
+    assert {(r.CustomerID, r.Rank, r.SimilarID) for r in few} == {(4, 1, 1), (4, 2, 2)}
+
+
 def test_selected_customers_get_the_same_answers(spark):
     lines = make_lines(3)
     tx = spark.createDataFrame(lines, COLUMNS)
