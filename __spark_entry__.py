@@ -232,6 +232,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             ),
             places=6,
         ),
+        "segment_sizes": lambda tx: rfm.segment_sizes(_named_profile(tx)),
         "elbow": lambda tx: segmentation.elbow(rfm.rfm(tx)),
         "kmeans_segments": _kmeans_segments,
         # churn
@@ -266,6 +267,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "basket": recommend.basket,
         "co_occurrence": lambda tx: recommend.co_occurrence(recommend.basket(tx)),
         "product_lookup": recommend.product_lookup,
+        "product_descriptions": recommend.product_descriptions,
+        "top_units": recommend.top_units,
         "top20_matrix": recommend.top_co_occurrence,
         "customers": recommend.customers,
         "customer_kpis": lambda tx: plain(recommend.customer_kpis(tx)),
@@ -284,6 +287,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "clv": lambda tx: _clv_columns(_clv(tx)),
         "clv_summary": lambda tx: plain(clv.clv_summary(_kept_clv(tx)), Total=2),
         "clv_histogram": lambda tx: clv.clv_histogram(_kept_clv(tx)),
+        "clv_scatter": lambda tx: plain(clv.clv_scatter(_clv(tx))),
         "top_clv": lambda tx: _clv_columns(clv.top_clv(_clv(tx))),
         "clv_quartiles": lambda tx: plain(clv.clv_quartiles(_kept_clv(tx)).select("CustomerID", "CLV", "CLV_Segment")),
         "clv_segments": lambda tx: plain(
@@ -292,6 +296,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             Percentage=6,
             CLV_Percentage=6,
         ),
+        "clv_pies": lambda tx: plain(
+            clv.segment_pies(clv.segment_shares(clv.segment_profile(clv.clv_quartiles(_kept_clv(tx))))), Total_CLV=2
+        ),
         "customer_value": lambda tx: plain(clv.customer_value(tx)),
         "top_customer_value": lambda tx: plain(clv.top_customer_value(clv.customer_value(tx))),
         "bgnbd_fit": _bgnbd_fit,

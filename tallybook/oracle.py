@@ -336,6 +336,7 @@ def oracle_sql() -> dict[str, str]:
                  AS Avg_Monetary_Norm
                FROM segments""",
         ),
+        "segment_sizes": (PROFILE, "SELECT Segment, Customer_Count FROM segments"),
         "churn_period": (
             CHURN,
             """SELECT strftime(snapshot, '%Y-%m-%d %H:%M:%S') AS Snapshot, strftime(boundary, '%Y-%m-%d %H:%M:%S') AS Boundary,
@@ -430,6 +431,8 @@ def oracle_sql() -> dict[str, str]:
         "basket": (BASKET, "SELECT InvoiceNo, StockCode FROM basket"),
         "co_occurrence": (BASKET, "SELECT A, B, n FROM pairs"),
         "product_lookup": (TX, "SELECT DISTINCT StockCode, Description FROM tx"),
+        "product_descriptions": (BASKET, "SELECT StockCode, Description FROM descriptions"),
+        "top_units": (BASKET, "SELECT StockCode, Quantity FROM lines ORDER BY Quantity DESC, StockCode LIMIT 20"),
         "top20_matrix": (
             BASKET
             + """,
@@ -522,6 +525,10 @@ def oracle_sql() -> dict[str, str]:
             """SELECT CAST(least(floor((CLV - lo) / (hi - lo) * 50), 49) AS INTEGER) AS Bin, count(*) AS Customers
                FROM clv, (SELECT min(CLV) AS lo, max(CLV) AS hi FROM clv) GROUP BY 1""",
         ),
+        "clv_scatter": (
+            EXPECTED,
+            f"SELECT CustomerID, Frequency, {_r('Prob_Alive', 'CLV', 'MonetaryValue')} FROM clv",
+        ),
         "top_clv": (
             EXPECTED,
             f"SELECT CustomerID, Frequency, {_CLV_COLUMNS} FROM (SELECT * FROM clv ORDER BY clv.CLV DESC, CustomerID LIMIT 20)",
@@ -533,6 +540,7 @@ def oracle_sql() -> dict[str, str]:
                 round(Total_CLV, 2) AS Total_CLV, round(Count * 100.0::DOUBLE / sum(Count) OVER (), 6) AS Percentage,
                 round(Total_CLV * 100 / sum(Total_CLV) OVER (), 6) AS CLV_Percentage FROM segment""",
         ),
+        "clv_pies": (SEGMENTED, "SELECT Segment, Count, round(Total_CLV, 2) AS Total_CLV FROM segment"),
         "customer_value": (
             TX,
             """SELECT CustomerID, count(DISTINCT InvoiceNo) AS PurchaseCount,

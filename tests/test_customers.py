@@ -132,3 +132,25 @@ def test_report_of_a_class_never_predicted(spark):
     assert rows["0"].Precision == pytest.approx(2 / 3) and rows["0"].F1 == pytest.approx(0.8)
     assert rows["accuracy"].F1 == pytest.approx(2 / 3) and rows["macro avg"].F1 == pytest.approx(0.4)
     assert rows["weighted avg"].Recall == pytest.approx(2 / 3)
+
+
+@pytest.mark.parametrize("parts", [1, 16])
+def test_results_do_not_depend_on_layout(spark, parts):
+    from tallybook.operators import clv, recommend
+
+    day = dt.timedelta(days=1)
+    tx = lines(spark, *[(str(i % 40), i % 9, T0 + (i % 40) * day, 1 + i % 4, 3 + i % 5) for i in range(200)])
+    tx = tx.withColumn("StockCode", (tx.Quantity * 3 + tx.CustomerID % 4).cast("string"))
+
+    def results(log):
+        found = [
+            rfm.rfm(log),
+            churn.churn_features(log, 10).drop("OrderValueStd", "ItemsStd"),
+            clv.customer_base(log),
+            recommend.customer_top_products(log),
+            recommend.item_recommendations(log, 3),
+            recommend.similar_customers(log, 3),
+        ]
+        return [sorted(map(tuple, df.select(sorted(df.columns)).collect())) for df in found]
+
+    assert results(tx.repartition(parts)) == results(tx)
