@@ -23,6 +23,12 @@ from tallybook.sources import sinks  # noqa: E402
 from tallybook.sources import transactions as sources  # noqa: E402
 from tallybook.sources.staging import shared_folder  # noqa: E402
 
+try:  # the operators for training data are an optional part
+    import corpus_pipeline
+    from tallybook.llm import queries as training_data
+except ModuleNotFoundError:
+    corpus_pipeline = training_data = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 BGNBD = clv.BgNbd(**oracle.BGNBD)
 GAMMA_GAMMA = clv.GammaGamma(**oracle.GAMMA_GAMMA)
@@ -312,11 +318,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered["csv_round_trip"] = _csv_round_trip
     registered["staged_round_trip"] = _staged_round_trip
     registered["model_round_trip"] = _model_round_trip
+    if training_data is not None:
+        registered |= training_data.queries()
+        registered["pipeline"] = corpus_pipeline.run
     return registered
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.oracle_sql()
+    twins = oracle.oracle_sql()
+    if training_data is not None:
+        twins |= training_data.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL is not None:
+            twins["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return twins
 
 
 def entry(spark: SparkSession) -> DataFrame:
