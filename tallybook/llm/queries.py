@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallybook.llm import byte_bpe, packing, quality_rules, sharding, token_counts
+from tallybook.llm import (
+    byte_bpe,
+    jaccard_join,
+    language_id,
+    packing,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    token_counts,
+)
 from tallybook.llm.batches import read
 
 
@@ -15,14 +24,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_byte_bpe": byte_bpe.encode_digests,
         "op2_quality_rules": quality_rules.judge,
         "op4_token_counts": token_counts.count_tokens,
+        "op6_language_id": language_id.identify,
         "op8_sharding": sharding.shard,
         "op9_packing": packing.pack,
+        "op10_jaccard_join": jaccard_join.join,
     }
 
     def over_documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: operator(read(spark, sf_dir, "documents"))
 
-    return {name: over_documents(operator) for name, operator in on_documents.items()}
+    def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+    registered = {name: over_documents(operator) for name, operator in on_documents.items()}
+    registered["op5_quality_classifier"] = quality
+    return registered
 
 
 def oracle_sql() -> dict[str, str]:
