@@ -10,10 +10,12 @@ from tallybook.llm import (
     byte_bpe,
     jaccard_join,
     language_id,
+    nearest,
     packing,
     quality_classifier,
     quality_rules,
     sharding,
+    substring_dedup,
     token_counts,
 )
 from tallybook.llm.batches import read
@@ -23,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     on_documents: dict[str, Callable[[DataFrame], DataFrame]] = {
         "op1_byte_bpe": byte_bpe.encode_digests,
         "op2_quality_rules": quality_rules.judge,
+        "op3_substring_dedup": substring_dedup.passages,
         "op4_token_counts": token_counts.count_tokens,
         "op6_language_id": language_id.identify,
         "op8_sharding": sharding.shard,
@@ -38,6 +41,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     registered = {name: over_documents(operator) for name, operator in on_documents.items()}
     registered["op5_quality_classifier"] = quality
+    registered["op7_nearest_neighbours"] = lambda spark, sf_dir: nearest.search(read(spark, sf_dir, "embeddings"))
     return registered
 
 
