@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 # texts handled together inside a task: a bound on memory, never on the rows handled
-SLICE_BYTES = 16_000_000
+SLICE_BYTES = 4_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -75,20 +75,21 @@ def add_columns(
 
 
 class Memo(dict):
-    """Values by key, computed for all missing keys at once; emptied when it has grown past `limit` entries.
+    """Values by key, computed for all missing keys at once; emptied when it would grow past `limit` entries.
 
-    The limit bounds a task's memory; a key that returns later is computed again, with the same value.
+    The limit bounds a worker's memory; a key that returns later is computed again, with the same value. Only the
+    keys of one call may exceed it, and these come from one slice of texts.
     """
 
     def __init__(self, compute: Callable[[list], list], limit: int = 400_000):
         super().__init__()
         self.compute, self.limit = compute, limit
 
-    def learn(self, keys) -> None:
-        missing = [k for k in dict.fromkeys(keys) if k not in self]
-        if not missing:
-            return
-        if len(self) + len(missing) > self.limit:
+    def learn(self, keys: Iterable) -> None:
+        wanted = set(keys)
+        missing = [k for k in wanted if k not in self]
+        if missing and len(self) + len(missing) > self.limit:
             self.clear()
-            missing = list(dict.fromkeys(keys))
-        self.update(zip(missing, self.compute(missing), strict=True))
+            missing = list(wanted)
+        if missing:
+            self.update(zip(missing, self.compute(missing), strict=True))

@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 from functools import lru_cache
+from itertools import chain
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,12 +74,6 @@ class SuffixAutomaton:
         return n
 
 
-@lru_cache(maxsize=1)
-def _automata(words: tuple[tuple[str, ...], ...]) -> list[SuffixAutomaton]:
-    """Built once by each Python worker."""
-    return list(map(SuffixAutomaton, words))
-
-
 def learn(docs: DataFrame) -> dict[str, tuple[str, ...]]:
     """The words of each language's automaton, from a bounded sample: SAMPLE_DOCS labelled texts of at most
     SAMPLE_TEXT_CHARS characters each, chosen by digest, and AUTOMATON_CHARS of their distinct words."""
@@ -110,9 +105,9 @@ class Parser:
 
     def __init__(self, learned: dict[str, tuple[str, ...]]):
         self.langs = sorted(learned)
-        self.automata = _automata(tuple(learned[lang] for lang in self.langs))
+        self.automata = [SuffixAutomaton(learned[lang]) for lang in self.langs]
         self.bits = [math.log2(a.size) for a in self.automata]
-        self.known = Memo(lambda chunks: list(map(self._count, chunks)), limit=200_000)
+        self.known = Memo(lambda chunks: list(map(self._count, chunks)))
 
     def _count(self, chunk: str) -> int:
         """Letters and phrases of a run of non-blanks, in fields of one number that add up without carries."""
@@ -123,13 +118,14 @@ class Parser:
                 packed += automaton.phrases(f" {word} ") << (_FIELD * k)
         return packed
 
-    def __call__(self, text: str) -> tuple[str, float]:
-        chunks = text.split()
-        try:
-            packed = sum(map(self.known.__getitem__, chunks))
-        except KeyError:
-            self.known.learn(chunks)
-            packed = sum(map(self.known.__getitem__, chunks))
+    def __call__(self, texts: list[str]) -> list[list]:
+        """Columns: language and score."""
+        split = [t.split() for t in texts]
+        self.known.learn(chain.from_iterable(split))
+        found = [self._best(sum(map(self.known.__getitem__, chunks))) for chunks in split]
+        return [[f[0] for f in found], [f[1] for f in found]]
+
+    def _best(self, packed: int) -> tuple[str, float]:
         field = (1 << _FIELD) - 1
         letters = packed & field
         if not letters or not self.langs:
@@ -140,14 +136,16 @@ class Parser:
         return cost[0][1], 1.0 - cost[0][0] / cost[1][0] if len(cost) > 1 else 1.0
 
 
+@lru_cache(maxsize=1)
+def _parser(learned: tuple[tuple[str, tuple[str, ...]], ...]) -> Parser:
+    """One for each Python worker, for all of its tasks."""
+    return Parser(dict(learned))
+
+
 def _predicted(rows: DataFrame, keep: list[str], docs: DataFrame) -> DataFrame:
     learned = docs.sparkSession.sparkContext.broadcast(learn(docs))
 
-    def make():
-        parse = Parser(learned.value)
-        return lambda texts: [list(c) for c in zip(*map(parse, texts), strict=True)]
-
-    return add_columns(rows, make, "lang_pred string, score double", keep)
+    return add_columns(rows, lambda: _parser(tuple(sorted(learned.value.items()))), "lang_pred string, score double", keep)
 
 
 def identify(docs: DataFrame) -> DataFrame:

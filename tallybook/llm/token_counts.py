@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import public_tokenizers
 import sentencepiece
@@ -44,17 +45,10 @@ def counter(path: str):
     counts = Memo(pieces)
 
     def count(texts: list[str]) -> list[list]:
-        tokens = []
-        for text in texts:
-            # a literal word mark in a text is a space to the library
-            words = pre_tokens(text.replace(MARK, " ") if MARK in text else text)
-            try:
-                n = sum(map(counts.__getitem__, words))
-            except KeyError:
-                counts.learn(words)
-                n = sum(map(counts.__getitem__, words))
-            tokens.append(n)
-        return [[len(t.encode()) for t in texts], tokens]
+        # a literal word mark in a text is a space to the library
+        split = [pre_tokens(t.replace(MARK, " ") if MARK in t else t) for t in texts]
+        counts.learn(chain.from_iterable(split))
+        return [[len(t.encode()) for t in texts], [sum(map(counts.__getitem__, words)) for words in split]]
 
     return count
 
