@@ -11,10 +11,13 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -37,32 +40,44 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 
 # Python's split() also cuts at these, which are no white space to the tokenizer
 _SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
+_STOPS = ".,;:!?"
 
 
 class Ids:
     """Little-endian unsigned 32-bit ids of whole texts.
 
-    The tokenizer never joins characters across white space, so a text's ids are those of its words in order,
-    and each distinct word is encoded once by the library.
+    The tokenizer never joins characters across white space, nor letters with the stops after them, so a text's ids
+    are those of its words in order, and each distinct word is encoded once by the library.
     """
 
     def __init__(self, path: str):
+        # a worker's own thread does all the work
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.known = Memo(self._encode, limit=300_000)
+        self.parts = Memo(self._encode, limit=300_000)
+        self.known = Memo(self._encode_words)
 
-    def _encode(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
 
-    def __call__(self, text: str) -> bytes:
-        if not _SEPARATORS.isdisjoint(text):
-            return self._encode([text])[0]
-        words = text.split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self.known.learn(words)
-            return b"".join(map(self.known.__getitem__, words))
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        letters = [w.rstrip(_STOPS) for w in words]
+        split = [(a.lower(), w[len(a) :]) if a.isascii() and a.isalpha() else (w, "") for a, w in zip(letters, words, strict=True)]
+        self.parts.learn(chain.from_iterable(split))
+        return [self.parts[a] + self.parts[b] if b else self.parts[a] for a, b in split]
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        split = [t.split() if _SEPARATORS.isdisjoint(t) else None for t in texts]
+        self.known.learn(chain.from_iterable(s for s in split if s))
+        for text, words in zip(texts, split, strict=True):
+            yield self._encode([text])[0] if words is None else b"".join(map(self.known.__getitem__, words))
+
+
+@lru_cache(maxsize=1)
+def _ids(path: str) -> Ids:
+    """One for each Python worker, for all of its tasks."""
+    return Ids(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, size: int = SIZE) -> DataFrame:
@@ -72,11 +87,11 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, size: int = SIZE) -> Dat
     out = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, seen, part = Ids(path), Counter(), TaskContext.get().partitionId()
+        ids_of, seen, part = _ids(path), Counter(), TaskContext.get().partitionId()
         for batch in slices(batches):
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = ids_of(text) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), ids_of(batch.column(1).to_pylist()), strict=True):
+                ids += end
                 for k in range(0, len(ids), 4 * size):
                     cut = ids[k : k + 4 * size]
                     length = len(cut) // 4
