@@ -10,6 +10,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import public_tokenizers
 import regex
@@ -46,13 +49,14 @@ def fold_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Coder:
-    """Encodes and decodes texts; keeps the ids of words it has met, up to a bound."""
+    """Encodes and decodes texts; keeps what it knows of distinct words, and of the parts between spaces."""
 
     def __init__(self, path: str, pattern: str):
         self.ranks = load_ranks(path)
         self.pieces = {rank: piece for piece, rank in self.ranks.items()}
         self.words = regex.compile(pattern)
-        self.known = Memo(lambda chunks: [self._encode_chunk(c) for c in chunks], limit=200_000)
+        self.folded = Memo(lambda words: [fold_merges(w.encode("utf-8"), self.ranks) for w in words], limit=300_000)
+        self.known = Memo(self._encode_chunks)
 
     def chunks(self, text: str) -> list[str]:
         """Parts of a text that no match of the pattern crosses.
@@ -65,34 +69,39 @@ class Coder:
         first, *rest = text.split(" ")
         return ([first] if first else []) + [" " + r for r in rest]
 
-    def _encode_chunk(self, chunk: str) -> tuple[str, int, bytes]:
-        ids = [i for word in self.words.findall(chunk) for i in self._word(word)]
-        return " ".join(map(str, ids)), len(ids), self.decode(ids)
-
-    def _word(self, word: str) -> list[int]:
-        return fold_merges(word.encode("utf-8"), self.ranks)
+    def _encode_chunks(self, chunks: list[str]) -> list[tuple[str, int, bytes]]:
+        """The ids as decimal text, their number, and the bytes they decode to."""
+        split = list(map(self.words.findall, chunks))
+        self.folded.learn(chain.from_iterable(split))
+        ids = [[i for w in words for i in self.folded[w]] for words in split]
+        return [(" ".join(map(str, i)), len(i), self.decode(i)) for i in ids]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
 
-    def encode(self, text: str) -> list[int]:
-        return [i for chunk in self.chunks(text) for i in self._ids(chunk)]
+    def _found(self, texts: list[str]) -> Iterator[list[tuple[str, int, bytes]]]:
+        split = list(map(self.chunks, texts))
+        self.known.learn(chain.from_iterable(split))
+        for chunks in split:
+            yield list(map(self.known.__getitem__, chunks))
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [[int(i) for f in found for i in f[0].split()] for found in self._found(texts)]
+
+    def digests(self, texts: list[str]) -> list[list]:
+        """Columns: number of ids, sha256 of the ids as decimal text, sha256 of the decoded bytes."""
+        sizes, ids, decoded = [], [], []
+        for found in self._found(texts):
+            sizes.append(sum([f[1] for f in found]))
+            ids.append(hashlib.sha256(" ".join([f[0] for f in found]).encode()).hexdigest())
+            decoded.append(hashlib.sha256(b"".join([f[2] for f in found])).hexdigest())
+        return [sizes, ids, decoded]
 
-    def _ids(self, chunk: str) -> list[int]:
-        self.known.learn([chunk])
-        return list(map(int, self.known[chunk][0].split()))
 
-    def digests(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, sha256 of the ids as decimal text, sha256 of the decoded bytes."""
-        chunks = self.chunks(text)
-        try:
-            found = list(map(self.known.__getitem__, chunks))
-        except KeyError:
-            self.known.learn(chunks)
-            found = list(map(self.known.__getitem__, chunks))
-        ids = hashlib.sha256(" ".join([f[0] for f in found]).encode()).hexdigest()
-        decoded = hashlib.sha256(b"".join([f[2] for f in found])).hexdigest()
-        return sum([f[1] for f in found]), ids, decoded
+@lru_cache(maxsize=1)
+def _coder(path: str, pattern: str) -> Coder:
+    """One for each Python worker, for all of its tasks."""
+    return Coder(path, pattern)
 
 
 def encode_digests(docs: DataFrame, ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -102,22 +111,13 @@ def encode_digests(docs: DataFrame, ranks: str = RANKS, pattern: str = public_to
     columns are not read. Equal ranks cannot meet in one word but as the same pair, where the leftmost goes first.
     """
     path = os.path.abspath(public_tokenizers.path(ranks))
-
-    def make():
-        coder = Coder(path, pattern)
-        return lambda texts: [list(c) for c in zip(*map(coder.digests, texts), strict=True)] or [[], [], []]
-
-    return add_columns(
-        id_and_text(docs), make, "n_tokens long, ids_sha256 string, decoded_sha256 string", ["doc_id"]
-    )
+    made = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return add_columns(id_and_text(docs), lambda: _coder(path, pattern).digests, made, ["doc_id"])
 
 
 def encode(docs: DataFrame, ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """doc_id and the ids of every text (null: none)."""
     path = os.path.abspath(public_tokenizers.path(ranks))
-
-    def make():
-        coder = Coder(path, pattern)
-        return lambda texts: [[coder.encode(t) for t in texts]]
-
-    return add_columns(id_and_text(docs), make, "ids array<int>", ["doc_id"])
+    return add_columns(
+        id_and_text(docs), lambda: lambda texts: [_coder(path, pattern).encode(texts)], "ids array<int>", ["doc_id"]
+    )
