@@ -149,6 +149,8 @@ def _window(distinct: DataFrame, positions: DataFrame, k: int, recall: float) ->
     sample = (
         distinct.filter("asks").orderBy(F.xxhash64("uid"), "uid").limit(SAMPLE_QUERIES).select("uid", "v").collect()
     )
+    if not sample:
+        return k
     ids, queries = np.array([r["uid"] for r in sample]), np.array([r["v"] for r in sample])
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
