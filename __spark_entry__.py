@@ -6,22 +6,21 @@ import os
 import sys
 from collections.abc import Callable
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tallybook import oracle  # noqa: E402
-from tallybook.constants import CHURN_FEATURES, RFM_METRICS  # noqa: E402
+from tallybook.constants import CHURN_FEATURES, FORECAST_FEATURES, RFM_METRICS, SEGMENT_NAMES  # noqa: E402
 from tallybook.operators import churn, clv, forecast, metrics, overview, recommend, rfm  # noqa: E402
 from tallybook.operators.cleaning import clean  # noqa: E402
 from tallybook.plans import churn as churn_plan  # noqa: E402
 from tallybook.plans import forecast as forecast_plan  # noqa: E402
-from tallybook.plans import forests, maximum_likelihood, segmentation  # noqa: E402
+from tallybook.plans import forests, lifetime_value, maximum_likelihood, segmentation  # noqa: E402
 from tallybook.sources import sinks  # noqa: E402
 from tallybook.sources import transactions as sources  # noqa: E402
-from tallybook.sources.staging import shared_folder  # noqa: E402
+from tallybook.sources.staging import shared_folder, stage  # noqa: E402
 
 try:  # the operators for training data are an optional part
     import corpus_pipeline
@@ -98,7 +97,7 @@ def _clv(tx: DataFrame) -> DataFrame:
 
 def _kept_clv(tx: DataFrame) -> DataFrame:
     """For reports that read the values several times."""
-    return _clv(tx).persist(StorageLevel.MEMORY_AND_DISK)
+    return stage(_clv(tx))
 
 
 def _clv_columns(df: DataFrame) -> DataFrame:
@@ -167,29 +166,98 @@ def _prob_alive(tx: DataFrame) -> DataFrame:
     return plain(inputs.select("CustomerID", p.alias("Prob_Alive")), places=8)
 
 
+# a fitted model's figures differ between engines: these queries return what must hold for any fit, row by row
+
+
+def _elbow(tx: DataFrame) -> DataFrame:
+    """The inertia of one cluster, and whether each further cluster lowers it."""
+    found = segmentation.elbow(rfm.rfm(tx))
+    before = found.select((F.col("k") + 1).alias("k"), F.col("inertia").alias("Before"))
+    return found.join(before, "k", "left").select(
+        "k",
+        F.when(F.col("k") == 1, F.round("inertia", 4)).alias("Inertia_1"),
+        ((F.col("k") == 1) | (F.col("inertia") < F.col("Before"))).alias("Falls"),
+    )
+
+
 def _kmeans_segments(tx: DataFrame) -> DataFrame:
+    """Every customer's metrics, and whether the segment has the name that its mean spend calls for."""
     segments, _ = segmentation.segment(tx)
-    return segments
+    means = segments.groupBy("Segment").agg(F.avg("Monetary").alias("Mean"))
+    ranked = means.withColumn("Place", F.row_number().over(Window.orderBy(F.desc("Mean"))))  # one row per segment
+    right = F.element_at(F.array(*map(F.lit, SEGMENT_NAMES)), F.col("Place")) == F.col("Segment")
+    named = ranked.select("Segment", right.alias("Named"))
+    return plain(segments.join(named, "Segment").select("CustomerID", *RFM_METRICS, "Named"))
 
 
 def _churn_model_scores(tx: DataFrame) -> DataFrame:
     features = churn_plan.labelled(tx)
-    return churn_plan.train(features).predict(features).select("CustomerID", "Churned", "prediction", "Churn_Probability")
+    p = F.col("Churn_Probability")
+    valid = p.between(0, 1) & (F.col("prediction") == (p > 0.5).cast("double"))
+    return churn_plan.train(features).predict(features).select("CustomerID", "Churned", valid.alias("Valid"))
+
+
+def _shares(importance: DataFrame) -> DataFrame:
+    total = importance.agg(F.round(F.sum("Importance"), 6)).scalar()  # one row per feature
+    return importance.select("Feature", F.col("Importance").between(0, 1).alias("Valid"), total.alias("Total"))
 
 
 def _churn_importance(tx: DataFrame) -> DataFrame:
     train, _ = churn.split(churn_plan.labelled(tx))
-    return forests.importance(train, forests.fit_classifier(train, CHURN_FEATURES, "label"))
+    model = forests.fit_classifier(train, CHURN_FEATURES, "label")
+    return _shares(forests.importance(train, model, len(CHURN_FEATURES)))
+
+
+def _revenue_model(tx: DataFrame) -> DataFrame:
+    """The predicted days; a forest's mean lies between the least and the largest revenue, its band around it."""
+    found = forecast_plan.analyse(tx, oracle.HORIZON)
+    edges = found.series.agg(F.min("Revenue").alias("Least"), F.max("Revenue").alias("Most"))
+    within = F.col("Predicted_Revenue").between(F.col("Least"), F.col("Most"))
+    around = (F.col("Lower") <= F.col("Predicted_Revenue")) & (F.col("Predicted_Revenue") <= F.col("Upper"))
+    rows = forecast_plan.with_band(found).crossJoin(F.broadcast(edges))  # one row
+    return plain(rows.select("Date", (within & around).alias("Valid")))
+
+
+def _revenue_importance(tx: DataFrame) -> DataFrame:
+    found = forecast_plan.analyse(tx, oracle.HORIZON)
+    if found.model is None:
+        return _shares(found.importance)
+    return _shares(forests.importance(found.series, found.model, len(FORECAST_FEATURES)))
+
+
+def _not_beaten(tx: DataFrame, fitted, values: list[float]) -> DataFrame:
+    """Whether the fitted parameters, whose objective comes first, do at least as well as all others."""
+    row = (min(fitted) > 0, all(values[0] <= v + 1e-6 for v in values[1:]))
+    return tx.sparkSession.createDataFrame([row], "Positive boolean, Best boolean")
 
 
 def _bgnbd_fit(tx: DataFrame) -> DataFrame:
-    fitted = maximum_likelihood.fit_bgnbd(clv.model_inputs(clv.customer_base(tx)))
-    return tx.sparkSession.createDataFrame([tuple(fitted)], "r double, alpha double, a double, b double")
+    inputs = clv.model_inputs(clv.customer_base(tx))
+    fitted = maximum_likelihood.fit_bgnbd(inputs)
+    others = [BGNBD, *[fitted._replace(**{n: getattr(fitted, n) * f}) for n in fitted._fields for f in (0.9, 1.1)]]
+    return _not_beaten(tx, fitted, maximum_likelihood.bgnbd_objectives(inputs, [fitted, *others]))
 
 
 def _gg_fit(tx: DataFrame) -> DataFrame:
-    fitted = maximum_likelihood.fit_gamma_gamma(clv.model_inputs(clv.customer_base(tx)))
-    return tx.sparkSession.createDataFrame([tuple(fitted)], "p double, q double, v double")
+    inputs = clv.model_inputs(clv.customer_base(tx))
+    fitted = maximum_likelihood.fit_gamma_gamma(inputs)
+    others = [GAMMA_GAMMA, *[fitted._replace(**{n: getattr(fitted, n) * f}) for n in fitted._fields for f in (0.9, 1.1)]]
+    return _not_beaten(tx, fitted, maximum_likelihood.gamma_gamma_objectives(inputs, [fitted, *others]))
+
+
+def _likelihoods(tx: DataFrame) -> DataFrame:
+    """The mean log-likelihood of both lifetime models at fixed parameters."""
+    inputs = clv.model_inputs(clv.customer_base(tx))
+    values = (
+        maximum_likelihood.bgnbd_objectives(inputs, [BGNBD], penalty=0.0)[0],
+        maximum_likelihood.gamma_gamma_objectives(inputs, [GAMMA_GAMMA], penalty=0.0)[0],
+    )
+    return plain(tx.sparkSession.createDataFrame([tuple(-v for v in values)], "BgNbd double, GammaGamma double"))
+
+
+def _customer_value_fallback(tx: DataFrame) -> DataFrame:
+    """The whole lifetime analysis with a gate that no log passes: plain spend of every customer."""
+    return plain(lifetime_value.analyse(tx, more_than=1 << 40).customer_value)
 
 
 def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,14 +273,46 @@ def _staged_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of a forest that was saved and read back."""
+    """Whether a forest that was saved and read back gives every customer the score of the fresh one."""
     path = shared_folder(spark)
     features = churn_plan.labelled(transactions(spark, sf_dir))
     fitted = churn_plan.train(features)
+    first = fitted.predict(features).select("CustomerID", "Churn_Probability")
     if fitted.forest is not None:
         sinks.save_model(fitted.forest, path)
         fitted = churn_plan.ChurnModel(sinks.load_model(path), None)
-    return fitted.predict(features).select("CustomerID", "Churn_Probability")
+    again = fitted.predict(features).select("CustomerID", F.col("Churn_Probability").alias("Again"))
+    return first.join(again, "CustomerID").select(
+        "CustomerID", (F.abs(F.col("Again") - F.col("Churn_Probability")) < 1e-12).alias("Same")
+    )
+
+
+def _saved_and_read(spark: SparkSession, df: DataFrame, export: Callable[[DataFrame, str], bool]) -> DataFrame:
+    """A table that was exported and read back; nothing was written for an empty one."""
+    path = shared_folder(spark)
+    if not export(df, path):
+        return df.limit(0)
+    return spark.read.schema(df.schema).option("header", True).option("escape", '"').csv(path)
+
+
+def _export_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tx = transactions(spark, sf_dir)
+    segments = rfm.segment_points(rfm.assign_segments(_clustered(tx), _named_profile(tx)))
+    return plain(_saved_and_read(spark, segments, sinks.export_segments))
+
+
+def _export_at_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = churn.at_risk(_churn_scored(transactions(spark, sf_dir)), 0.7)
+    return plain(_saved_and_read(spark, found, sinks.export_at_risk), Churn_Probability=8)
+
+
+def _export_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = _naive_forecast(transactions(spark, sf_dir)).select("Date", "Predicted_Revenue")
+    return plain(_saved_and_read(spark, days, sinks.export_forecast))
+
+
+def _export_clv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _saved_and_read(spark, _clv_columns(_clv(transactions(spark, sf_dir))), sinks.export_clv)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -239,7 +339,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             places=6,
         ),
         "segment_sizes": lambda tx: rfm.segment_sizes(_named_profile(tx)),
-        "elbow": lambda tx: segmentation.elbow(rfm.rfm(tx)),
+        "elbow": _elbow,
         "kmeans_segments": _kmeans_segments,
         # churn
         "churn_period": _churn_period,
@@ -267,8 +367,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "actual_and_predicted": lambda tx: plain(_naive_test(tx)),
         "regression_metrics": lambda tx: plain(metrics.regression_metrics(_naive_test(tx)), R2=8),
-        "revenue_model": lambda tx: forecast_plan.with_band(forecast_plan.analyse(tx, oracle.HORIZON)),
-        "revenue_importance": lambda tx: forecast_plan.analyse(tx, oracle.HORIZON).importance,
+        "revenue_model": _revenue_model,
+        "revenue_importance": _revenue_importance,
         # recommendations
         "basket": recommend.basket,
         "co_occurrence": lambda tx: recommend.co_occurrence(recommend.basket(tx)),
@@ -309,6 +409,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top_customer_value": lambda tx: plain(clv.top_customer_value(clv.customer_value(tx))),
         "bgnbd_fit": _bgnbd_fit,
         "gg_fit": _gg_fit,
+        "likelihoods": _likelihoods,
+        "customer_value_fallback": _customer_value_fallback,
     }
 
     def over_transactions(query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -318,6 +420,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered["csv_round_trip"] = _csv_round_trip
     registered["staged_round_trip"] = _staged_round_trip
     registered["model_round_trip"] = _model_round_trip
+    registered["export_segments"] = _export_segments
+    registered["export_at_risk"] = _export_at_risk
+    registered["export_forecast"] = _export_forecast
+    registered["export_clv"] = _export_clv
     if training_data is not None:
         registered |= training_data.queries()
         registered["pipeline"] = corpus_pipeline.run

@@ -72,8 +72,8 @@ def repeat_customers(base: DataFrame) -> DataFrame:
 
 
 def enough_repeat_customers(base: DataFrame, more_than: int = 10) -> bool:
-    """Whether the models can be fitted; reads at most `more_than` + 1 rows to the end."""
-    return repeat_customers(base).limit(more_than + 1).count() > more_than
+    """Whether the models can be fitted."""
+    return repeat_customers(base).count() > more_than
 
 
 def model_inputs(base: DataFrame) -> DataFrame:
@@ -121,6 +121,10 @@ def probability_alive(x: Column, t_x: Column, t: Column, model: BgNbd) -> Column
     return F.when(x > 0, 1 / (1 + odds)).otherwise(1.0)
 
 
+# a series this long means parameters beyond double precision: an error, never a truncated value
+MOST_TERMS = 20_000_000
+
+
 def expected_purchases(days: list[float], weights: list[float], x: Column, t_x: Column, t: Column, model: BgNbd) -> Column:
     """Weighted sum of the expected number of orders within each of `days` from the end of the log.
 
@@ -129,7 +133,8 @@ def expected_purchases(days: list[float], weights: list[float], x: Column, t_x:
     (1 - (1-z)^(a-1) 2F1(a+b-1-r, a-1; c; z)) / (a - 1), whose series converges fast and has a
     finite limit at a = 1: with e = a - 1 it is -expm1(e ln(1-z)) / e - (1-z)^e S.
 
-    S is a series of some dozens of terms per customer and day: Arrow batches in NumPy sum it some
+    S is a series of some dozens of terms per customer and day for usual parameters, and is summed until its terms
+    vanish: Arrow batches in NumPy sum it some
     fifty times faster than a lambda over a sequence of term numbers.
     """
     r, alpha, a, b = model
@@ -141,7 +146,9 @@ def expected_purchases(days: list[float], weights: list[float], x: Column, t_x:
         z = horizon / (t.to_numpy()[:, None] + alpha + horizon)
         c = x.to_numpy()[:, None] + (a + b - 1)
         total, term, n = np.zeros_like(z), upper / c * z, 1
-        while np.any(np.abs(term) > 1e-14 * (1 - z)) and n < 100_000:
+        while np.any(np.abs(term) > 1e-14 * (1 - z)):
+            if n > MOST_TERMS:
+                raise ArithmeticError(f"the series for expected orders has not converged after {n} terms")
             total += term
             term = term * (n + upper) * (n + e) / ((c + n) * (n + 1)) * z
             n += 1

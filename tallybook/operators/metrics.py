@@ -15,14 +15,14 @@ def accuracy(predictions: DataFrame) -> DataFrame:
 
 
 def confusion(predictions: DataFrame) -> DataFrame:
-    """Counts of actual (rows) against predicted classes, 0 where nothing falls."""
-    return (
-        predictions.groupBy(F.col("label").cast("int").alias("Actual"))
-        .agg(
-            F.count_if(F.col("prediction") == 0).alias("Predicted_0"),
-            F.count_if(F.col("prediction") == 1).alias("Predicted_1"),
-        )
-    )
+    """Counts of actual (rows) against predicted classes: always both of each, 0 where nothing falls."""
+
+    def cell(actual: int, predicted: int):
+        return F.count_if((F.col("label") == actual) & (F.col("prediction") == predicted))
+
+    rows = [F.struct(F.lit(a).alias("Actual"), *[F.col(f"c{a}{p}").alias(f"Predicted_{p}") for p in (0, 1)]) for a in (0, 1)]
+    cells = predictions.agg(*[cell(a, p).alias(f"c{a}{p}") for a in (0, 1) for p in (0, 1)])
+    return cells.select(F.inline(F.array(*rows)))
 
 
 def classification_report(predictions: DataFrame) -> DataFrame:

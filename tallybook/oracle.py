@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tallybook.constants import CHURN_FEATURES, FORECAST_FEATURES
+
 # Parameters shared with the registered queries.
 CHURN_DAYS = 90
 HORIZON = 30
@@ -276,6 +278,21 @@ _LINE = (
 _CLV_COLUMNS = _r("MonetaryValue", "Predicted_Purchases", "Prob_Alive", "CLV")
 
 
+# Log-likelihoods of one customer; times and alpha are scaled as the fit scales them.
+_BGNBD_LIKELIHOOD = (
+    f"lgamma({_R} + x) - lgamma({_R}) + {_R} * ln(al) + lgamma({_A + _B}) + lgamma({_B} + x) - lgamma({_B}) "
+    f"- lgamma({_A + _B} + x) + ln(pow(al + t, -({_R} + x)) + {_A} / ({_B} + x - 1) * pow(al + tx, -({_R} + x)))"
+)
+_GG_LIKELIHOOD = (
+    f"lgamma({_P} * x + {_Q}) - lgamma({_P} * x) - lgamma({_Q}) + {_Q} * ln({_V}) + ({_P} * x - 1) * ln(m) "
+    f"+ {_P} * x * ln(x) - ({_P} * x + {_Q}) * ln({_V} + m * x)"
+)
+
+
+def _names(features: list[str]) -> str:
+    return "(VALUES " + ", ".join(f"('{f}')" for f in features) + ") AS t(Feature)"
+
+
 def oracle_sql() -> dict[str, str]:
     ctes: dict[str, tuple[str, str]] = {
         "clean_transactions": (TX, f"SELECT {_LINE} FROM tx"),
@@ -372,8 +389,9 @@ def oracle_sql() -> dict[str, str]:
         ),
         "confusion": (
             CHURN,
-            """SELECT label AS Actual, count(*) FILTER (prediction = 0) AS Predicted_0,
-               count(*) FILTER (prediction = 1) AS Predicted_1 FROM scored GROUP BY label""",
+            """SELECT Actual, count(*) FILTER (prediction = 0) AS Predicted_0,
+               count(*) FILTER (prediction = 1) AS Predicted_1
+               FROM (VALUES (0), (1)) AS t(Actual) LEFT JOIN scored ON label = Actual GROUP BY Actual""",
         ),
         "report": (
             CHURN
@@ -498,6 +516,30 @@ def oracle_sql() -> dict[str, str]:
                 Quantity, {_r('TotalPrice')}
                 FROM best LEFT JOIN descriptions USING (StockCode) LEFT JOIN metrics USING (StockCode) WHERE rn <= 10""",
         ),
+        "elbow": (
+            RFM,
+            """SELECT CAST(k AS INTEGER) AS k, CASE WHEN k = 1 THEN round((SELECT 3.0::DOUBLE * count(*) FROM rfm), 4) END
+               AS Inertia_1, true AS Falls FROM range(1, 11) t(k)""",
+        ),
+        "kmeans_segments": (RFM, f"SELECT CustomerID, Recency, Frequency, {_r('Monetary')}, true AS Named FROM rfm"),
+        "churn_model_scores": (CHURN, "SELECT CustomerID, Churned, true AS Valid FROM features"),
+        "churn_importance": (TX, f"SELECT *, true AS Valid, 1.0::DOUBLE AS Total FROM {_names(CHURN_FEATURES)}"),
+        "revenue_model": (FUTURE, f"SELECT {_DATE}, true AS Valid FROM future"),
+        "revenue_importance": (
+            SERIES,
+            f"""SELECT *, true AS Valid, 1.0::DOUBLE AS Total FROM {_names(FORECAST_FEATURES)}
+                WHERE (SELECT count(*) FROM parted WHERE IsTrain) >= 2""",
+        ),
+        "model_round_trip": (CHURN, "SELECT CustomerID, true AS Same FROM features"),
+        "bgnbd_fit": (BASE, "SELECT count(*) > 0 AS Positive, count(*) > 0 AS Best FROM inputs"),
+        "gg_fit": (BASE, "SELECT count(*) > 0 AS Positive, count(*) > 0 AS Best FROM inputs"),
+        "likelihoods": (
+            BASE,
+            f"""SELECT round(avg({_BGNBD_LIKELIHOOD}), 4) AS BgNbd, round(avg({_GG_LIKELIHOOD}), 4) AS GammaGamma
+                FROM (SELECT CAST(Repeats AS DOUBLE) AS x, CAST(ModelRecency AS DOUBLE) / s AS tx,
+                             CAST(ModelT AS DOUBLE) / s AS t, {_ALPHA}::DOUBLE / s AS al, OrderValue AS m
+                      FROM inputs, (SELECT max(ModelT) / 10.0::DOUBLE AS s FROM inputs))""",
+        ),
         "clv_base": (
             BASE,
             f"""SELECT CustomerID, Recency, Frequency, {_r('MonetaryValue')}, LineCount, {_r('AvgOrderValue')}, T,
@@ -557,5 +599,14 @@ def oracle_sql() -> dict[str, str]:
         ),
         "csv_round_trip": (RFM, f"SELECT CustomerID, Recency, Frequency, {_r('Monetary')} FROM rfm"),
         "staged_round_trip": (DAILY, f"SELECT {_DATE}, {_r('Revenue')} FROM daily"),
+        "export_forecast": (FUTURE, f"SELECT {_DATE}, {_r('Predicted_Revenue')} FROM forecast"),
     }
+    # what is written and read back, or reached by another way, equals the plain query
+    for name, plain in {
+        "export_segments": "cluster_names",
+        "export_at_risk": "at_risk",
+        "export_clv": "clv",
+        "customer_value_fallback": "customer_value",
+    }.items():
+        ctes[name] = ctes[plain]
     return {name: f"WITH {with_part.strip()}\n{select}" for name, (with_part, select) in ctes.items()}

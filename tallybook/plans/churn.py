@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -14,6 +13,7 @@ from tallybook.constants import CHURN_FEATURES
 from tallybook.operators import churn as ops
 from tallybook.operators import metrics
 from tallybook.plans import forests
+from tallybook.sources.staging import stage
 
 
 @dataclass
@@ -37,17 +37,17 @@ class ChurnModel:
 
 
 def labelled(tx: DataFrame, churn_days: int = 90) -> DataFrame:
-    """Features with a numeric label, kept because training reads them many times."""
+    """Features with a numeric label, staged because training reads them many times."""
     features = ops.churn_features(tx, churn_days)
-    return features.withColumn("label", F.col("Churned").cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
+    return stage(features.withColumn("label", F.col("Churned").cast("double")))
 
 
-def train(features: DataFrame, depth: int = 10) -> ChurnModel:
+def train(features: DataFrame, settings: forests.Settings = forests.Settings()) -> ChurnModel:
     part, _ = ops.split(features)
     classes = [row["label"] for row in part.select("label").distinct().collect()]  # two at most
     if len(classes) < 2:
         return ChurnModel(None, classes[0] if classes else 0.0)
-    return ChurnModel(forests.fit_classifier(part, CHURN_FEATURES, "label", depth), None)
+    return ChurnModel(forests.fit_classifier(part, CHURN_FEATURES, "label", settings), None)
 
 
 @dataclass
@@ -60,9 +60,9 @@ class ChurnReport:
     scored: DataFrame
 
 
-def analyse(tx: DataFrame, churn_days: int = 90) -> ChurnReport:
+def analyse(tx: DataFrame, churn_days: int = 90, settings: forests.Settings = forests.Settings()) -> ChurnReport:
     features = labelled(tx, churn_days)
-    model = train(features)
+    model = train(features, settings)
     part, held_out = ops.split(features)
     judged = model.predict(held_out)
     return ChurnReport(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -9,33 +11,38 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Size and seed of the forests
-TREES = 100
-SEED = 42
+@dataclass(frozen=True)
+class Settings:
+    """Size of a forest. Spark grows trees to 30 levels at most; 10 keep a forest of 100 small enough to share."""
+
+    trees: int = 100
+    depth: int = 10
+    bins: int = 64
+    seed: int = 42
 
 
-def fit_classifier(train: DataFrame, columns: list[str], label: str, depth: int = 10) -> PipelineModel:
+def fit_classifier(train: DataFrame, columns: list[str], label: str, settings: Settings = Settings()) -> PipelineModel:
     forest = RandomForestClassifier(
         featuresCol="features",
         labelCol=label,
-        numTrees=TREES,
-        seed=SEED,
-        maxDepth=depth,
-        maxBins=64,
+        numTrees=settings.trees,
+        seed=settings.seed,
+        maxDepth=settings.depth,
+        maxBins=settings.bins,
         maxMemoryInMB=512,
         featureSubsetStrategy="sqrt",
     )
     return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), forest]).fit(train)
 
 
-def fit_regressor(train: DataFrame, columns: list[str], label: str, depth: int = 10) -> PipelineModel:
+def fit_regressor(train: DataFrame, columns: list[str], label: str, settings: Settings = Settings()) -> PipelineModel:
     forest = RandomForestRegressor(
         featuresCol="features",
         labelCol=label,
-        numTrees=TREES,
-        seed=SEED,
-        maxDepth=depth,
-        maxBins=64,
+        numTrees=settings.trees,
+        seed=settings.seed,
+        maxDepth=settings.depth,
+        maxBins=settings.bins,
         maxMemoryInMB=512,
         featureSubsetStrategy="all",
     )

@@ -53,7 +53,10 @@ def _objective(weighted: DataFrame, expand: Callable[[np.ndarray], dict[str, flo
 def minimise(
     evaluate: Callable[[list[np.ndarray]], np.ndarray], start: np.ndarray, rounds: int = 100, tolerance: float = 1e-7
 ) -> np.ndarray:
-    """Newton's method with finite differences; directions of negative curvature are turned downhill."""
+    """Newton's method with finite differences; directions of negative curvature are turned downhill.
+
+    It ends where no step lowers the objective by `tolerance`, and raises when that takes more than `rounds`.
+    """
     d, h = len(start), 1e-3
     unit = np.eye(d) * h
     here = start
@@ -81,11 +84,25 @@ def minimise(
         here = tries[best]
         if gain < tolerance:
             return here
-    return here
+    raise ArithmeticError(f"the likelihood is still rising after {rounds} rounds")
 
 
-def fit_bgnbd(inputs: DataFrame, penalty: float = PENALTY) -> BgNbd:
-    """Parameters from the columns Repeats, ModelRecency and ModelT."""
+class _Problem:
+    """Merged customers, kept while the block lasts, and the objective over vectors of log parameters."""
+
+    def __init__(self, weighted: DataFrame, expand, likelihood, penalty: float):
+        self.weighted = weighted.persist(StorageLevel.MEMORY_AND_DISK)
+        self.evaluate = _objective(self.weighted, expand, likelihood, penalty)
+
+    def __enter__(self) -> _Problem:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.weighted.unpersist()
+
+
+def _bgnbd(inputs: DataFrame, penalty: float) -> tuple[_Problem, float]:
+    """The problem in scaled time, and the scale."""
     longest = inputs.agg(F.max("ModelT")).first()[0]
     scale = SCALED_T / longest if longest else 1.0
     weighted = (
@@ -97,39 +114,24 @@ def fit_bgnbd(inputs: DataFrame, penalty: float = PENALTY) -> BgNbd:
             (F.col("ModelT") * scale).alias("t"),
             "w",
         )
-        .persist(StorageLevel.MEMORY_AND_DISK)
     )
 
     def expand(theta: np.ndarray) -> dict[str, float]:
         r, alpha, a, b = (float(v) for v in theta[:4])
-        return {
-            "r": r,
-            "alpha": alpha,
-            "a": a,
-            "b": b,
-            "lg_r": math.lgamma(r),
-            "lg_ab": math.lgamma(a + b),
-            "lg_b": math.lgamma(b),
-        }
+        gammas = {"lg_r": math.lgamma(r), "lg_ab": math.lgamma(a + b), "lg_b": math.lgamma(b)}
+        return {"r": r, "alpha": alpha, "a": a, "b": b, **gammas}
 
     def likelihood(p):
         return bgnbd_log_likelihood(F.col("x"), F.col("t_x"), F.col("t"), p)
 
-    try:
-        theta = np.exp(minimise(_objective(weighted, expand, likelihood, penalty), np.zeros(4)))
-    finally:
-        weighted.unpersist()
-    r, alpha, a, b = (float(v) for v in theta)
-    return BgNbd(r, alpha / scale, a, b)
+    return _Problem(weighted, expand, likelihood, penalty), scale
 
 
-def fit_gamma_gamma(inputs: DataFrame, penalty: float = PENALTY) -> GammaGamma:
-    """Parameters from the columns Repeats and OrderValue of customers who spent."""
+def _gamma_gamma(inputs: DataFrame, penalty: float) -> _Problem:
     weighted = (
         inputs.filter((F.col("Repeats") > 0) & (F.col("OrderValue") > 0))
         .groupBy(F.col("Repeats").cast("double").alias("x"), F.col("OrderValue").alias("m"))
         .agg(F.count(F.lit(1)).cast("double").alias("w"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
     )
 
     def expand(theta: np.ndarray) -> dict[str, float]:
@@ -139,8 +141,31 @@ def fit_gamma_gamma(inputs: DataFrame, penalty: float = PENALTY) -> GammaGamma:
     def likelihood(p):
         return gamma_gamma_log_likelihood(F.col("x"), F.col("m"), p)
 
-    try:
-        theta = np.exp(minimise(_objective(weighted, expand, likelihood, penalty), np.zeros(3)))
-    finally:
-        weighted.unpersist()
-    return GammaGamma(*(float(v) for v in theta))
+    return _Problem(weighted, expand, likelihood, penalty)
+
+
+def fit_bgnbd(inputs: DataFrame, penalty: float = PENALTY) -> BgNbd:
+    """Parameters from the columns Repeats, ModelRecency and ModelT."""
+    problem, scale = _bgnbd(inputs, penalty)
+    with problem:
+        r, alpha, a, b = (float(v) for v in np.exp(minimise(problem.evaluate, np.zeros(4))))
+    return BgNbd(r, alpha / scale, a, b)
+
+
+def fit_gamma_gamma(inputs: DataFrame, penalty: float = PENALTY) -> GammaGamma:
+    """Parameters from the columns Repeats and OrderValue of customers who spent."""
+    with _gamma_gamma(inputs, penalty) as problem:
+        return GammaGamma(*(float(v) for v in np.exp(minimise(problem.evaluate, np.zeros(3)))))
+
+
+def bgnbd_objectives(inputs: DataFrame, models: list[BgNbd], penalty: float = PENALTY) -> list[float]:
+    """What the fit minimises, at given parameters."""
+    problem, scale = _bgnbd(inputs, penalty)
+    with problem:
+        return problem.evaluate([np.log([m.r, m.alpha * scale, m.a, m.b]) for m in models]).tolist()
+
+
+def gamma_gamma_objectives(inputs: DataFrame, models: list[GammaGamma], penalty: float = PENALTY) -> list[float]:
+    """What the fit minimises, at given parameters."""
+    with _gamma_gamma(inputs, penalty) as problem:
+        return problem.evaluate([np.log(list(m)) for m in models]).tolist()

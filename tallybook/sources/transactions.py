@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallybook.constants import TRANSACTION_COLUMNS
+from tallybook.constants import DATE_FORMATS, TRANSACTION_COLUMNS
 from tallybook.operators.cleaning import conform
 
 TRANSACTION_SCHEMA = T.StructType(
@@ -33,9 +35,16 @@ def choose_encoding(spark: SparkSession, path: str) -> str:
 
 
 def read_transactions(
-    spark: SparkSession, path: str, encoding: str | None = None, multi_line: bool = False
+    spark: SparkSession,
+    path: str,
+    encoding: str | None = None,
+    multi_line: bool = False,
+    date_formats: Sequence[str] = DATE_FORMATS,
 ) -> DataFrame:
-    """Read a transaction CSV with a header row; columns are found by name, in any order.
+    """Read a transaction CSV with a header row; columns are found by name, in any order that all files share.
+
+    A file with another header is an error. Without `encoding` a log that is valid UTF-8 is scanned once more;
+    name the encoding of a large log.
 
     Everything is read as text and typed by `conform`, so one odd value becomes null instead of
     changing the type of its column. Keep `multi_line` off unless descriptions hold line breaks:
@@ -46,9 +55,10 @@ def read_transactions(
         .option("encoding", encoding or choose_encoding(spark, path))
         .option("escape", '"')
         .option("multiLine", multi_line)
+        .option("enforceSchema", False)
         .csv(path)
     )
-    return conform(raw.select(*TRANSACTION_COLUMNS))
+    return conform(raw.select(*TRANSACTION_COLUMNS), date_formats)
 
 
 def example_transactions(spark: SparkSession) -> DataFrame:
@@ -91,7 +101,9 @@ def star_schema_transactions(spark: SparkSession, directory: str) -> DataFrame:
     def table(name: str) -> DataFrame:
         return spark.read.schema(STAR_SCHEMA[name]).parquet(f"{directory}/{name}.parquet")
 
-    lines, orders, customers = _busy(table("lineitem")), table("orders"), table("customer")
+    # the join with orders deals lines by their order in any case; dealt first, they are not joined in a task per file
+    lines = table("lineitem").repartition("l_orderkey")
+    orders, customers = table("orders"), table("customer")
     nations, parts = table("nation"), table("part")
     return (
         lines.join(orders, lines.l_orderkey == orders.o_orderkey)
@@ -113,18 +125,6 @@ def star_schema_transactions(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def _busy(lines: DataFrame) -> DataFrame:
-    """Spread the lines of a few small files over all cores.
-
-    A file that is one row group is read by one task, which would then also do the joins. Where
-    the scan has at least as many splits as there are cores, as on any large table, nothing is moved.
-    """
-    cores = lines.sparkSession.sparkContext.defaultParallelism
-    if lines.rdd.getNumPartitions() >= cores:
-        return lines
-    return lines.repartition(cores, "l_orderkey", "l_partkey")
-
-
 def stage_transactions(tx: DataFrame, path: str) -> None:
     """Write the cleaned log once as Parquet by month, so that every analysis can start from it.
 

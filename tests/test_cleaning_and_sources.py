@@ -1,10 +1,13 @@
 import datetime as dt
 from decimal import Decimal
 
+import numpy as np
 import pytest
 
-from tallybook.operators import overview
-from tallybook.operators.cleaning import clean, conform
+from tallybook.operators import metrics, overview
+from tallybook.operators.cleaning import clean, conform, unreadable
+from tallybook.plans import forecast
+from tallybook.plans.maximum_likelihood import minimise
 from tallybook.sources import sinks, staging
 from tallybook.sources import transactions as sources
 
@@ -114,3 +117,65 @@ def test_stage_keeps_rows_and_types(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "id bigint, s string")
     back = staging.stage(df)
     assert back.dtypes == df.dtypes and sorted(r.id for r in back.collect()) == [1, 2]
+
+
+TEXT = (
+    "InvoiceNo string, StockCode string, Description string, Quantity string, InvoiceDate string, "
+    "UnitPrice string, CustomerID string, Country string"
+)
+
+
+def test_no_figure_is_rounded_away(spark):
+    rows = [
+        ("1", "A", "a", "2", DAY, "0.00004", "9007199254740993", "UK"),
+        ("2", "A", "a", "2.5", DAY, "3.00", "9007199254740992", "UK"),
+        ("3", "A", "a", "1", DAY, "123456789012345.67", "17850.0", "UK"),
+        ("4", "A", "a", "1", DAY, "0", "1", "UK"),
+    ]
+    got = {r.InvoiceNo: (r.TotalPrice, r.CustomerID) for r in clean(spark.createDataFrame(rows, TEXT)).collect()}
+    assert got == {
+        "1": (Decimal("0.00008"), 9007199254740993),
+        "2": (Decimal("7.5"), 9007199254740992),
+        "3": (Decimal("123456789012345.67"), 17850),
+    }
+
+
+def test_dates_in_given_formats_and_a_count_of_what_cannot_be_read(spark):
+    days = ["31.12.2010 8:26", "12/1/10 8:26", "12/1/2010 8:26 AM", "2010-12-31", "soon", None]
+    rows = [(str(i), "A", "a", "x" if i == 5 else "1", d, "1", "1", "UK") for i, d in enumerate(days)]
+    df = spark.createDataFrame(rows, TEXT)
+    formats = ["d.M.yyyy H:mm", "M/d/yy H:mm", "M/d/yyyy h:mm a"]
+    read = {r.InvoiceNo: r.InvoiceDate for r in conform(df, formats).collect()}
+    assert read["0"] == dt.datetime(2010, 12, 31, 8, 26)
+    assert read["1"] == read["2"] == dt.datetime(2010, 12, 1, 8, 26)
+    assert read["3"] == dt.datetime(2010, 12, 31) and read["4"] is None and read["5"] is None
+    counts = {r.Column: r.Unreadable for r in unreadable(df, formats).collect()}
+    assert counts == {"Quantity": 1, "InvoiceDate": 1, "UnitPrice": 0, "CustomerID": 0}
+    assert {r.Column: r.Unreadable for r in unreadable(df).collect()}["InvoiceDate"] == 4
+
+
+def test_files_with_unlike_headers_are_an_error(spark, tmp_path):
+    header = "InvoiceNo,StockCode,Description,Quantity,InvoiceDate,UnitPrice,CustomerID,Country"
+    (tmp_path / "a.csv").write_text(f"{header}\n1,A,a,1,{DAY},2,3,UK\n")
+    (tmp_path / "b.csv").write_text(f"{header.replace('InvoiceNo,StockCode', 'StockCode,InvoiceNo')}\nA,1,a,1,{DAY},2,3,UK\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        sources.read_transactions(spark, str(tmp_path)).collect()
+
+
+def test_confusion_has_both_classes(spark):
+    df = spark.createDataFrame([(1.0, 1.0), (1.0, 0.0)], "label double, prediction double")
+    assert sorted(map(tuple, metrics.confusion(df).collect())) == [(0, 0, 0), (1, 1, 1)]
+    assert sorted(map(tuple, metrics.confusion(df.limit(0)).collect())) == [(0, 0, 0), (1, 0, 0)]
+
+
+def test_a_short_log_gives_empty_forecasts(spark):
+    rows = [(str(i), "A", "a", 2, f"12/{i}/2010 8:26", 1.25, "1", "UK") for i in range(1, 21)]
+    found = forecast.analyse(clean(raw(spark, *rows)))
+    assert found.model is None and found.importance.count() == found.tested.count() == 0
+    assert forecast.with_band(found).columns == ["Date", "Predicted_Revenue", "Lower", "Upper"]
+    assert forecast.with_band(found).count() == 0
+
+
+def test_a_fit_that_does_not_end_raises():
+    with pytest.raises(ArithmeticError):
+        minimise(lambda points: np.array([-float(p[0]) for p in points]), np.zeros(1), rounds=5)
