@@ -142,6 +142,11 @@ def _user_recs(tx: DataFrame) -> DataFrame:
     )
 
 
+def _customer_lines(tx: DataFrame) -> DataFrame:
+    """The lines of the customer with the smallest number."""
+    return plain(recommend.customer_lines(tx, tx.agg(F.min("CustomerID")).first()[0]))
+
+
 def _expected(tx: DataFrame) -> DataFrame:
     inputs = clv.model_inputs(clv.customer_base(tx))
     e = clv.expected_purchases(
@@ -377,6 +382,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top_units": recommend.top_units,
         "top20_matrix": recommend.top_co_occurrence,
         "customers": recommend.customers,
+        "customer_lines": _customer_lines,
         "customer_kpis": lambda tx: plain(recommend.customer_kpis(tx)),
         "customer_top5": lambda tx: plain(recommend.customer_top_products(tx)),
         "product_metrics": lambda tx: plain(recommend.product_metrics(tx), Popularity=8),

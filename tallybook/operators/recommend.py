@@ -45,25 +45,33 @@ def _pairs(tx: DataFrame, key: str) -> DataFrame:
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, part: int = 2_000) -> DataFrame:
-    """Inner join on `key` that divides the right rows of a large key into parts of about `part` rows.
+    """Inner join on `key` that divides the rows of a large key, on either side, into parts of about `part` rows.
 
-    The left rows of such a key are repeated once per part, so its matches are made by many tasks.
+    Every part of the left meets every part of the right, so that the matches of such a key are made by many tasks.
     Adaptive execution does not help there: it looks at the bytes that go in, not at the rows that
     come out.
     """
-    large = (
-        right.groupBy(key)
-        .agg(F.ceil(F.count(F.lit(1)) / part).alias("Parts"))
-        .filter(F.col("Parts") > 1)
-    )
-    parts = F.coalesce("Parts", F.lit(1).cast("bigint"))
-    divided = right.join(large, key, "left").select(
-        *right.columns, F.pmod(F.xxhash64(*right.columns), parts).alias("Part")
+
+    def large(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / part).alias(name)).filter(F.col(name) > 1)
+
+    sizes = large(left, "Lefts").join(large(right, "Rights"), key, "full")
+    one = F.lit(1).cast("bigint")
+    lefts, rights = F.coalesce("Lefts", one), F.coalesce("Rights", one)
+
+    def own(side: DataFrame, parts: Column) -> Column:
+        return F.pmod(F.xxhash64(*side.columns), parts)
+
+    def each(parts: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))
+
+    divided_left = left.join(sizes, key, "left").select(
+        *left.columns, own(left, lefts).alias("LeftPart"), each(rights).alias("RightPart")
     )
-    repeated = left.join(large, key, "left").select(
-        *left.columns, F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("Part")
+    divided_right = right.join(sizes, key, "left").select(
+        *right.columns, each(lefts).alias("LeftPart"), own(right, rights).alias("RightPart")
     )
-    return repeated.join(divided, [key, "Part"]).drop("Part")
+    return divided_left.join(divided_right, [key, "LeftPart", "RightPart"]).drop("LeftPart", "RightPart")
 
 
 def co_occurrence(baskets: DataFrame, part: int = 2_000) -> DataFrame:
@@ -140,17 +148,28 @@ def top_co_occurrence(tx: DataFrame, n: int = 20) -> DataFrame:
 
     The log is cut to these products before pairing, so an invoice contributes at most n codes.
     """
-    top = top_units(tx, n).select("StockCode")
-    counts = co_occurrence(basket(tx.join(F.broadcast(top), "StockCode", "left_semi")))  # n rows
+    top = stage(top_units(tx, n).select("StockCode"))  # n rows, whose size Spark reads from the file
+    counts = co_occurrence(basket(tx.join(top, "StockCode", "left_semi")))
     codes = top.agg(F.sort_array(F.collect_list("StockCode")).alias("codes"))  # n codes
     grid = codes.select("codes", F.explode("codes").alias("A")).select("A", F.explode("codes").alias("B"))
-    labels = product_descriptions(tx.join(F.broadcast(top), "StockCode", "left_semi")).select(
-        F.col("StockCode").alias("A"), label(F.col("StockCode"), F.col("Description")).alias("Label")
+    labels = product_descriptions(tx.join(top, "StockCode", "left_semi")).select(
+        "StockCode", label(F.col("StockCode"), F.col("Description")).alias("Label")
     )
+
+    def labelled(axis: str) -> DataFrame:
+        return labels.select(F.col("StockCode").alias(axis), F.col("Label").alias(f"Given_{axis}"))
+
     return (
         grid.join(counts, ["A", "B"], "left")
-        .join(labels, "A", "left")
-        .select("A", F.coalesce("Label", "A").alias("Label_A"), "B", F.coalesce("n", F.lit(0)).alias("n"))
+        .join(labelled("A"), "A", "left")
+        .join(labelled("B"), "B", "left")
+        .select(
+            "A",
+            F.coalesce("Given_A", "A").alias("Label_A"),
+            "B",
+            F.coalesce("Given_B", "B").alias("Label_B"),
+            F.coalesce("n", F.lit(0)).alias("n"),
+        )
     )
 
 
@@ -575,7 +594,7 @@ def _similar_to_few(owned: DataFrame, selected: DataFrame, k: int) -> DataFrame:
     sizes = owned.groupBy("CustomerID").agg(F.count(F.lit(1)).alias("Size"))
     asked = owned.join(selected.select("CustomerID"), "CustomerID", "left_semi")
     common = (
-        asked.join(owned.withColumnRenamed("CustomerID", "SimilarID"), "StockCode")
+        spread_join(asked, owned.withColumnRenamed("CustomerID", "SimilarID"), "StockCode")
         .filter(F.col("CustomerID") != F.col("SimilarID"))
         .groupBy("CustomerID", "SimilarID")
         .agg(F.count(F.lit(1)).alias("Common"))

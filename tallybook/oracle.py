@@ -455,11 +455,13 @@ def oracle_sql() -> dict[str, str]:
             BASKET
             + """,
             top AS (SELECT StockCode FROM lines ORDER BY Quantity DESC, StockCode LIMIT 20)""",
-            """SELECT a.StockCode AS A, a.StockCode || ' - ' || substr(Description, 1, 20) || '...' AS Label_A,
-               b.StockCode AS B, coalesce(n, 0) AS n
+            """SELECT a.StockCode AS A, a.StockCode || ' - ' || substr(d.Description, 1, 20) || '...' AS Label_A,
+               b.StockCode AS B, b.StockCode || ' - ' || substr(e.Description, 1, 20) || '...' AS Label_B,
+               coalesce(n, 0) AS n
                FROM top a CROSS JOIN top b LEFT JOIN pairs ON pairs.A = a.StockCode AND pairs.B = b.StockCode
-               JOIN descriptions d ON d.StockCode = a.StockCode""",
+               JOIN descriptions d ON d.StockCode = a.StockCode JOIN descriptions e ON e.StockCode = b.StockCode""",
         ),
+        "customer_lines": (TX, f"SELECT {_LINE} FROM tx WHERE CustomerID = (SELECT min(CustomerID) FROM tx)"),
         "customers": (TX, "SELECT DISTINCT CustomerID FROM tx"),
         "customer_kpis": (
             TX,

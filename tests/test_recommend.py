@@ -170,3 +170,17 @@ def test_user_recommendations(spark):
         expected |= {(c, i + 1, code, round(w * rec.SCORE_STEP, 9)) for i, (code, w) in enumerate(ranked)}
     got = rec.user_recommendations(tx, neighbours, k=3).collect()
     assert {(r.CustomerID, r.Rank, r.StockCode, round(r.Score, 9)) for r in got} == expected
+
+
+def test_spread_join_divides_a_key_that_is_large_on_the_left(spark):
+    left = spark.range(600).selectExpr("1 AS k", "id AS x").union(spark.createDataFrame([(2, 1), (3, 1)], "k int, x long"))
+    right = spark.range(30).selectExpr("1 AS k", "id AS y").union(spark.createDataFrame([(2, 5), (4, 1)], "k int, y long"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = rec.spread_join(left, right, "k", part=20)
+        assert joined.columns == ["k", "x", "y"]
+        per_task = [n for n in joined.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+        assert sum(per_task) == 600 * 30 + 1
+        assert len(per_task) >= 4 and max(per_task) < 0.6 * sum(per_task)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
