@@ -175,7 +175,10 @@ def test_user_recommendations(spark):
 def test_spread_join_divides_a_key_that_is_large_on_the_left(spark):
     left = spark.range(600).selectExpr("1 AS k", "id AS x").union(spark.createDataFrame([(2, 1), (3, 1)], "k int, x long"))
     right = spark.range(30).selectExpr("1 AS k", "id AS y").union(spark.createDataFrame([(2, 5), (4, 1)], "k int, y long"))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    # small test data would be broadcast, or gathered in one task
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         joined = rec.spread_join(left, right, "k", part=20)
         assert joined.columns == ["k", "x", "y"]
@@ -183,4 +186,5 @@ def test_spread_join_divides_a_key_that_is_large_on_the_left(spark):
         assert sum(per_task) == 600 * 30 + 1
         assert len(per_task) >= 4 and max(per_task) < 0.6 * sum(per_task)
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in settings:
+            spark.conf.unset(name)
