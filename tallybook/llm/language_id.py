@@ -77,16 +77,24 @@ class SuffixAutomaton:
 def learn(docs: DataFrame) -> dict[str, tuple[str, ...]]:
     """The words of each language's automaton, from a bounded sample: SAMPLE_DOCS labelled texts of at most
     SAMPLE_TEXT_CHARS characters each, chosen by digest, and AUTOMATON_CHARS of their distinct words."""
-    labelled = docs.select(
-        F.col("lang").cast("string").alias("lang"), whole_text(docs).alias("text"), id_digest(F.col("doc_id")).alias("d")
-    ).filter(
-        F.col("lang").isNotNull() & (F.col("d") % FOLDS != HELD_OUT) & (F.length("text") <= SAMPLE_TEXT_CHARS)
+    labelled = (
+        docs.select(
+            F.col("lang").cast("string").alias("lang"),
+            whole_text(docs).alias("text"),
+            id_digest(F.col("doc_id")).alias("d"),
+        )
+        .filter(
+            F.col("lang").isNotNull() & (F.col("d") % FOLDS != HELD_OUT) & (F.length("text") <= SAMPLE_TEXT_CHARS)
+        )
+        .withColumn("h", F.xxhash64("d", "text"))
     )
-    # the digest orders the rows, so that each task keeps few of them before they are shuffled
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("d"), "text")
-    chosen = labelled.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= SAMPLE_DOCS)
+    # digests choose the rows, so that each task passes on few of them, and no texts but the chosen ones
+    order = Window.partitionBy("lang").orderBy("h")
+    digests = labelled.select("lang", "h").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= SAMPLE_DOCS)
+    # SAMPLE_DOCS rows of two short columns per language
+    chosen = labelled.join(F.broadcast(digests.select("lang", "h").distinct()), ["lang", "h"])
     texts: dict[str, list[str]] = {}
-    for row in chosen.orderBy("lang", "k").collect():
+    for row in chosen.dropDuplicates(["lang", "h"]).orderBy("lang", "h").select("lang", "text").collect():
         texts.setdefault(row["lang"], []).append(row["text"])
     learned = {}
     for lang, sample in texts.items():
