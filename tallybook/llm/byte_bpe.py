@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from tallybook.llm.batches import Memo, add_columns, id_and_text
 
 RANKS = "byte_bpe_50k.tiktoken"
+# above all ranks
+NEVER = 1 << 62
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -32,19 +34,17 @@ def fold_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one word: the adjacent pair of lowest rank becomes one piece (ties: the leftmost), until none is left."""
     if word in ranks:
         return [ranks[word]]
+    rank = ranks.get
     pieces = [word[i : i + 1] for i in range(len(word))]
-    pairs = [ranks.get(word[i : i + 2]) for i in range(len(word) - 1)]
-    while pairs:
-        best = min((r for r in pairs if r is not None), default=None)
-        if best is None:
-            break
+    pairs = [rank(word[i : i + 2], NEVER) for i in range(len(word) - 1)]
+    while pairs and (best := min(pairs)) != NEVER:
         i = pairs.index(best)
-        pieces[i : i + 2] = [pieces[i] + pieces[i + 1]]
+        merged = pieces[i] = pieces[i] + pieces.pop(i + 1)
         del pairs[i]
         if i < len(pairs):
-            pairs[i] = ranks.get(pieces[i] + pieces[i + 1])
+            pairs[i] = rank(merged + pieces[i + 1], NEVER)
         if i:
-            pairs[i - 1] = ranks.get(pieces[i - 1] + pieces[i])
+            pairs[i - 1] = rank(pieces[i - 1] + merged, NEVER)
     return [ranks[p] for p in pieces]
 
 
