@@ -29,6 +29,7 @@ except ModuleNotFoundError:
     corpus_pipeline = training_data = None
 
 SMOKE_DIR = "/root/testdata/sf0.001"
+HOT_OWNERS = 5
 BGNBD = clv.BgNbd(**oracle.BGNBD)
 GAMMA_GAMMA = clv.GammaGamma(**oracle.GAMMA_GAMMA)
 
@@ -126,16 +127,22 @@ def _at_risk(tx: DataFrame) -> DataFrame:
     return plain(churn.at_risk(_churn_scored(tx), 0.7), Churn_Probability=8)
 
 
-def _item_recs(tx: DataFrame) -> DataFrame:
-    found = recommend.describe_products(recommend.item_recommendations(tx), tx)
+def _item_recs(tx: DataFrame, **settings: int) -> DataFrame:
+    found = recommend.describe_products(recommend.item_recommendations(tx, **settings), tx)
     return plain(
         found.select("CustomerID", "Rank", "StockCode", "Description", "Score", "Quantity", "TotalPrice", "Popularity"),
         Popularity=8,
     )
 
 
-def _user_recs(tx: DataFrame) -> DataFrame:
-    found = recommend.user_recommendations(tx, recommend.similar_customers(tx))
+def _item_recs_top5(tx: DataFrame) -> DataFrame:
+    """The short view of the recommendations."""
+    shown = _item_recs(tx).filter(F.col("Rank") <= 5)
+    return shown.select("CustomerID", "Rank", "StockCode", "Description", "Score")
+
+
+def _user_recs(tx: DataFrame, **settings: int) -> DataFrame:
+    found = recommend.user_recommendations(tx, recommend.similar_customers(tx, **settings))
     described = recommend.describe_products(found, tx, popularity=False)
     return plain(
         described.select("CustomerID", "Rank", "StockCode", "Description", "Score", "Quantity", "TotalPrice"), Score=8
@@ -389,6 +396,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "item_recs": _item_recs,
         "similar_customers": lambda tx: plain(recommend.similar_customers(tx), places=8),
         "user_recs": _user_recs,
+        # the ways for products of very many owners, taken by some products of these tables
+        "item_recs_hot": lambda tx: _item_recs(tx, hot_owners=HOT_OWNERS),
+        "similar_customers_hot": lambda tx: plain(recommend.similar_customers(tx, hot_owners=HOT_OWNERS), places=8),
+        "user_recs_hot": lambda tx: _user_recs(tx, hot_owners=HOT_OWNERS),
+        "item_recs_top5": _item_recs_top5,
         # lifetime value
         "clv_base": lambda tx: plain(clv.model_inputs(clv.customer_base(tx))),
         "prob_alive": _prob_alive,

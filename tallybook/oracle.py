@@ -609,6 +609,14 @@ def oracle_sql() -> dict[str, str]:
         "export_at_risk": "at_risk",
         "export_clv": "clv",
         "customer_value_fallback": "customer_value",
+        "item_recs_hot": "item_recs",
+        "similar_customers_hot": "similar_customers",
+        "user_recs_hot": "user_recs",
     }.items():
         ctes[name] = ctes[plain]
+    recommended, listed = ctes["item_recs"]
+    ctes["item_recs_top5"] = (
+        recommended,
+        f"SELECT CustomerID, Rank, StockCode, Description, Score FROM ({listed}) WHERE Rank <= 5",
+    )
     return {name: f"WITH {with_part.strip()}\n{select}" for name, (with_part, select) in ctes.items()}
