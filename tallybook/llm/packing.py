@@ -43,6 +43,11 @@ _SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
 _STOPS = ".,;:!?"
 
 
+def _is_latin(word: str) -> bool:
+    """Letters that are composed already, and whose lower case is one character for the tokenizer as for Python."""
+    return word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word))
+
+
 class Ids:
     """Little-endian unsigned 32-bit ids of whole texts.
 
@@ -54,8 +59,8 @@ class Ids:
         # a worker's own thread does all the work
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts = Memo(self._encode, limit=300_000)
-        self.known = Memo(self._encode_words)
+        self.parts = Memo(self._encode, limit=600_000)
+        self.known = Memo(self._encode_words, limit=800_000)
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
@@ -63,7 +68,7 @@ class Ids:
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         letters = [w.rstrip(_STOPS) for w in words]
-        split = [(a.lower(), w[len(a) :]) if a.isascii() and a.isalpha() else (w, "") for a, w in zip(letters, words, strict=True)]
+        split = [(a.lower(), w[len(a) :]) if _is_latin(a) else (w, "") for a, w in zip(letters, words, strict=True)]
         self.parts.learn(chain.from_iterable(split))
         return [self.parts[a] + self.parts[b] if b else self.parts[a] for a, b in split]
 
