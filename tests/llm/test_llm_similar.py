@@ -136,6 +136,40 @@ def test_changed_passages_are_found(spark):
     assert set(range(25, 115)) <= words[2] and set(range(40, 130)) <= words[1]
 
 
+def unique_words(prefix: str, n: int) -> list[str]:
+    return [f"{prefix}{i}" for i in range(n)]
+
+
+def test_repeated_phrases_do_not_break_a_passage():
+    u = unique_words
+    passage = u("w", 60)
+    passage[40:45] = passage[15:20]
+    mine = " ".join(u("a", 30) + passage + u("b", 30))
+    assert substring_dedup.common_passages(mine, " ".join(u("c", 20) + passage + u("d", 30))) == [(30, 90, 20, 80)]
+    earlier = u("c", 20) + passage[15:20] + u("e", 9) + passage + u("d", 30)
+    assert substring_dedup.common_passages(mine, " ".join(earlier)) == [(30, 90, 34, 94)]
+    lines = u("l", 12) * 5
+    mine, other = " ".join(u("a", 30) + lines + u("b", 30)), " ".join(u("c", 20) + lines + u("d", 30))
+    assert substring_dedup.common_passages(mine, other) == [(30, 90, 20, 80)]
+    assert substring_dedup.common_passages("same " * 3000, "same " * 3000) == [(0, 3000, 0, 3000)]
+
+
+def test_exact_passages_of_repetitive_texts_against_brute_force(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BAND_MATCHES", 500)
+    r = random.Random(1)
+    for _ in range(150):
+        kinds = r.choice([2, 3, 6, 50])
+        core, *texts = ([str(r.randrange(kinds)) for _ in range(r.randrange(50, 120))] for _ in range(3))
+        for words in texts:
+            at = r.randrange(len(words))
+            words[at:at] = core
+        got = substring_dedup.common_passages(*map(" ".join, texts))
+        starts = repeats({k: " ".join(words) for k, words in enumerate(texts)})
+        for k in (0, 1):
+            words = set().union(*(range(row[2 * k], row[2 * k + 1]) for row in got))
+            assert {w for i in starts[k] for w in range(i, i + 50)} <= words
+
+
 def test_repeats_of_all_documents(spark):
     docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
