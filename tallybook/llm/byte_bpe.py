@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -55,16 +56,17 @@ class Coder:
         self.ranks = load_ranks(path)
         self.pieces = {rank: piece for piece, rank in self.ranks.items()}
         self.words = regex.compile(pattern)
+        self.runs = re.compile(r" (?:(?=\s)|(?<=\s ))")
         self.folded = Memo(lambda words: [fold_merges(w.encode("utf-8"), self.ranks) for w in words], limit=300_000)
         self.known = Memo(self._encode_chunks)
 
     def chunks(self, text: str) -> list[str]:
         """Parts of a text that no match of the pattern crosses.
 
-        A single space goes with what follows it. Runs of spaces match together, so that a text with such
-        a run is cut at the matches themselves.
+        A single space goes with what follows it. Runs of white space match together, so that a text with a space
+        beside another blank is cut at the matches themselves.
         """
-        if "  " in text:
+        if self.runs.search(text):
             return self.words.findall(text)
         first, *rest = text.split(" ")
         return ([first] if first else []) + [" " + r for r in rest]

@@ -45,6 +45,15 @@ def test_bpe_matches_library_and_round_trips(spark, edge, nothing):
     assert byte_bpe.encode_digests(nothing).count() == 0
 
 
+def test_bpe_keeps_runs_of_spaces_and_other_blanks_together():
+    path = public_tokenizers.path(byte_bpe.RANKS)
+    ranks = byte_bpe.load_ranks(path)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(9)
+    texts = ["a \xa0 \xa0 b"] + ["".join(r.choices("ab    \xa0\xa0\n\t\u3000\x1c\x85.", k=9)) for _ in range(3000)]
+    assert byte_bpe.Coder(path, public_tokenizers.PATTERN).encode(texts) == [library.encode_ordinary(t) for t in texts]
+
+
 def test_merges_go_by_rank_and_from_the_left():
     ranks = {b"a": 0, b"b": 1, b"aa": 2, b"ab": 3, b"aab": 4}
     assert byte_bpe.fold_merges(b"aaab", ranks) == [2, 3]
