@@ -170,6 +170,19 @@ def test_exact_passages_of_repetitive_texts_against_brute_force(monkeypatch):
             assert {w for i in starts[k] for w in range(i, i + 50)} <= words
 
 
+def test_every_place_of_a_passage_is_found(spark):
+    u = unique_words
+    shared = u("w", 60)
+    rows = [
+        (1, " ".join(u("a", 30) + shared + u("b", 300) + shared + u("c", 30))),
+        (2, " ".join(u("d", 20) + shared + u("e", 40))),
+    ]
+    for swapped in (rows, [(i, t + " end") for i, t in rows], [(i, "begin " + t) for i, t in rows]):
+        words = covered(substring_dedup.passages(spark.createDataFrame(swapped, "doc_id long, text string")).collect())
+        at = 30 + swapped[0][1].startswith("begin")
+        assert words[1] == set(range(at, at + 60)) | set(range(at + 360, at + 420))
+
+
 def test_repeats_of_all_documents(spark):
     docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
