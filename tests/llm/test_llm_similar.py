@@ -170,6 +170,31 @@ def test_exact_passages_of_repetitive_texts_against_brute_force(monkeypatch):
             assert {w for i in starts[k] for w in range(i, i + 50)} <= words
 
 
+def test_short_passages_with_a_changed_word_share_enough_windows():
+    hasher, u, trials, missed = Hasher(), unique_words, 1500, 0
+    for k in range(trials):
+        passage = u(f"w{k}x", 50)
+        changed = [*passage[:25], "other", *passage[26:]]
+        texts = [u(f"a{k}x", 60) + passage + u(f"b{k}x", 60), u(f"c{k}x", 60) + changed + u(f"d{k}x", 60)]
+        hashes = [hasher(" ".join(t)) for t in texts]
+        shared = 0
+        for salt in substring_dedup._SALTS:
+            own = [substring_dedup.mix(h ^ salt) for h in hashes]
+            tokens = [set(x[substring_dedup.compact_windows(x, 46)[0]].tolist()) for x in own]
+            shared += bool(tokens[0] & tokens[1])
+        missed += shared < substring_dedup.ENOUGH
+    assert missed <= 0.001 * trials
+
+
+def test_similar_parts_of_a_stretch_that_is_not_similar():
+    passage = unique_words("w", 140)
+    changed = list(passage)
+    changed[30] = "x"
+    for i in range(66, 140, 8):
+        changed[i] = f"y{i}"
+    assert substring_dedup.common_passages(" ".join(passage), " ".join(changed)) == [(0, 66, 0, 66)]
+
+
 def test_every_place_of_a_passage_is_found(spark):
     u = unique_words
     shared = u("w", 60)
