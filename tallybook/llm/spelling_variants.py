@@ -28,7 +28,8 @@ from tallybook.sources.staging import stage
 
 LEAST_LENGTH, LEAST_COUNT, RATIO = 5, 3, 2
 DAMAGE = 97
-PARTS = 4
+# groups of letters where one letter is replaced, and where one is inserted
+PARTS, PARTS_OF_LONGER = 4, 2
 # distinct runs that a task counts before it passes the counts on
 TABLE = 400_000
 
@@ -101,38 +102,34 @@ def _mix(x: np.ndarray) -> np.ndarray:
 _NUMBERS = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 # letters are dealt to the parts by how common they are in European languages, so that the parts are alike
 _COMMON = "eanirtosldhcumpgfbvzykqwjxéèêçàüäößñíóúá"
-_PART = np.array([max(0, _COMMON.find(chr(c))) % PARTS if chr(c) in _COMMON else c % PARTS for c in range(256)])
+_PLACE = np.array([_COMMON.find(chr(c)) if chr(c) in _COMMON else c for c in range(256)])
 
 
 def _signatures(letters: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Role and signatures for words of one length, given as a matrix of Latin-1 letters."""
-    n, length = letters.shape
-    numbers = _NUMBERS[letters]
-    parts = [np.where(_PART[letters] == k, numbers, np.uint64(0)) for k in range(PARTS)]
-
-    def key(kind: int, short: int, half: int, equal: np.ndarray, other: list[np.ndarray], kept: tuple[int, ...]) -> np.ndarray:
-        tag = np.uint64(zlib.crc32(repr((kind, short, half, kept)).encode()))
-        mixed = _mix(equal + tag)
-        for k in kept:
-            mixed = _mix(mixed * np.uint64(0x9E3779B97F4A7C15) + other[k])
-        return mixed
-
-    def both_halves(cut: int) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
-        """Which half may differ, the other one's multiset, and the parts of the half that may differ."""
-        yield 0, numbers[:, cut:].sum(axis=1, dtype=np.uint64), [p[:, :cut].sum(axis=1, dtype=np.uint64) for p in parts]
-        yield 1, numbers[:, :cut].sum(axis=1, dtype=np.uint64), [p[:, cut:].sum(axis=1, dtype=np.uint64) for p in parts]
-
-    for half, equal, other in both_halves(length // 2):
-        for kept in combinations(range(PARTS), PARTS - 2):
-            yield SAME, key(0, length, half, equal, other, kept)
-        for kept in combinations(range(PARTS), PARTS - 1):
-            yield SHORTER, key(1, length, half, equal, other, kept)
-    # as the longer word, cut so that the half without the inserted letter is that of the shorter word
-    short = length - 1
+    length = letters.shape[1]
+    numbers, places = _NUMBERS[letters], _PLACE[letters]
+
+    def keys(kind: int, short: int, cut: int, half: int, parts: int, differ: int) -> Iterator[np.ndarray]:
+        """One half may differ in so many of the parts; each choice of the others makes a signature with the other half."""
+        ends = (slice(None, cut), slice(cut, None))
+        equal = numbers[:, ends[1 - half]].sum(axis=1, dtype=np.uint64)
+        own, place = numbers[:, ends[half]], places[:, ends[half]] % parts
+        sums = [np.where(place == k, own, np.uint64(0)).sum(axis=1, dtype=np.uint64) for k in range(parts)]
+        for kept in combinations(range(parts), parts - differ):
+            mixed = _mix(equal + np.uint64(zlib.crc32(repr((kind, short, half, kept)).encode())))
+            for k in kept:
+                mixed = _mix(mixed * np.uint64(0x9E3779B97F4A7C15) + sums[k])
+            yield mixed
+
     for half in (0, 1):
-        _, equal, other = list(both_halves(short // 2 + (1 - half)))[half]
-        for kept in combinations(range(PARTS), PARTS - 1):
-            yield LONGER, key(1, short, half, equal, other, kept)
+        for key in keys(0, length, length // 2, half, PARTS, 2):
+            yield SAME, key
+        for key in keys(1, length, length // 2, half, PARTS_OF_LONGER, 1):
+            yield SHORTER, key
+        # as the longer word, cut so that the half without the inserted letter is that of the shorter word
+        for key in keys(1, length - 1, (length - 1) // 2 + (1 - half), half, PARTS_OF_LONGER, 1):
+            yield LONGER, key
 
 
 def signed(words: DataFrame) -> DataFrame:
@@ -158,12 +155,14 @@ def signed(words: DataFrame) -> DataFrame:
 
 def near_words(words: DataFrame) -> DataFrame:
     """a, a_n, b, b_n: every pair of words, once, that differ by exactly one inserted, deleted or replaced code point."""
+    # both sides are one exchange: no condition on one side alone, which would be pushed below it
     dealt = signed(words).repartition("signature")
     left = dealt.select("signature", F.col("role").alias("a_role"), F.col("word").alias("a"), F.col("n").alias("a_n"))
     right = dealt.select("signature", F.col("role").alias("b_role"), F.col("word").alias("b"), F.col("n").alias("b_n"))
-    apart = (F.col("b_role") == LONGER) | ((F.col("b_role") == SAME) & (F.col("a") < F.col("b")))
-    met = left.join(right, "signature").filter(
-        (F.col("a_role") == F.when(F.col("b_role") == LONGER, SHORTER).otherwise(SAME)) & apart
+    roles = F.col("a_role") * 3 + F.col("b_role")
+    # Spark would judge the size by the words, of which each has many signatures
+    met = left.join(right.hint("merge"), "signature").filter(
+        (roles == SHORTER * 3 + LONGER) | ((roles == SAME * 3 + SAME) & (F.col("a") < F.col("b")))
     )
     return met.filter(F.levenshtein("a", "b", 1) == 1).select("a", "a_n", "b", "b_n").distinct()
 
