@@ -9,6 +9,11 @@ huge are handled in three exact ways:
   score depends only on which hot products a customer owns, so it is computed once for each such
   combination (a "signature"), ranked there, and merged with the scores of the other products.
 
+Similar customers come from an index of products, rarest first: a profile reads the lists of owners of
+its rare products, counts them in place, and knows from its k-th best what any other must reach. Only
+pairs that may reach it get their hot products counted, and the owners of hot products are read in
+order of the size of their sets, until none that is left can reach it.
+
 Why merging is exact: take a customer's list ranked by the hot products alone. A candidate that the
 other products do not touch keeps its hot score, while everything ahead of it can only gain. So if
 it belongs to the true best k, it is among the first k of the hot list (not counting entries the
@@ -17,6 +22,11 @@ customer may not be given). The candidates that the other products do touch are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -474,6 +484,145 @@ def _fill_with_customers(found: DataFrame, asked: DataFrame, everyone: DataFrame
     )
 
 
+# owners that a task counts together for one customer; beyond, owners are divided into parts
+OWNERS_AT_ONCE = 4_000_000
+# owners in one list of a hot product
+LIST = 1 << 16
+
+
+def _best_overlaps(probes: DataFrame, key: str, k: int, hot: bool, among: bool) -> DataFrame:
+    """(key, Other, Common, OtherSize): the best of those met most often in the lists that a key reads.
+
+    A probe is a key, a part, and a list of (Other, Size, Hot). Counting is done in numpy, list by list, so that the
+    pairs behind the lists never become rows. Without `hot`, exactly the k first by closeness and number are
+    returned; with it, all that could be among them if every hot product of the smaller holder were shared. Keys that
+    are `among` the others are not compared with themselves.
+    """
+
+    def best(x: int, others: np.ndarray, common: np.ndarray, size: np.ndarray, hots: np.ndarray) -> list[np.ndarray]:
+        hot_items = 0
+        if among:
+            itself = others == x
+            hot_items = int(hots[itself][0])
+            others, common, size, hots = (v[~itself] for v in (others, common, size, hots))
+        sure = common * common / size
+        if hot:
+            enough = np.partition(sure, -k)[-k] if len(sure) > k else 0.0
+            possible = common + np.minimum(hots, hot_items)
+            chosen = np.flatnonzero(possible * possible / size >= enough)
+        else:
+            chosen = np.lexsort((others, -sure))[:k]
+        return [np.full(len(chosen), x), others[chosen], common[chosen], size[chosen]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
+        pieces: list[np.ndarray] = []
+        done: list[list[np.ndarray]] = []
+
+        def counted() -> np.ndarray:
+            """Rows Other, count, Size, Hot of what is held so far."""
+            met = np.concatenate(pieces, axis=1)
+            others, first, inverse = np.unique(met[0], return_index=True, return_inverse=True)
+            return np.vstack([others, np.bincount(inverse, weights=met[1]).astype(np.int64), met[2][first], met[3][first]])
+
+        def table() -> pa.RecordBatch:
+            columns = [np.concatenate([d[i] for d in done]) for i in range(4)]
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+        for batch in batches:
+            keys, parts = (np.asarray(batch.column(i)) for i in (0, 1))
+            flat = batch.column(2).flatten()
+            entries = np.vstack([np.asarray(flat.field(0)), np.ones(len(flat), np.int64), *(np.asarray(flat.field(i)) for i in (1, 2))])
+            ends = np.concatenate([[0], np.cumsum(np.asarray(batch.column(2).value_lengths()))])
+            # the lists of one key and part follow one another
+            starts = np.flatnonzero((np.diff(keys) != 0) | (np.diff(parts) != 0)) + 1
+            for i, j in pairwise([0, *starts.tolist(), len(keys)]):
+                if (group := (int(keys[i]), int(parts[i]))) != now:
+                    if now is not None:
+                        done.append(best(now[0], *counted()))
+                    now, pieces, held = group, [], 0
+                pieces.append(entries[:, ends[i] : ends[j]])
+                held += ends[j] - ends[i]
+                if held > 1_000_000:
+                    pieces, held = [counted()], 0
+            if done:
+                yield table()
+        if now is not None:
+            done.append(best(now[0], *counted()))
+            yield table()
+
+    names = [key, "Other", "Common", "OtherSize"]
+    schema = f"{key} bigint, Other bigint, Common bigint, OtherSize bigint"
+    ordered = probes.select(key, "Part", "List").repartition(key, "Part").sortWithinPartitions(key, "Part")
+    return ordered.mapInArrow(run, schema)
+
+
+def light_probes(light: DataFrame, facts: DataFrame, at_once: int = OWNERS_AT_ONCE) -> DataFrame:
+    """(Profile, Part, List): the owners of every light product of every profile, with their sizes and hot products.
+
+    A list has at most as many owners as a light product may have. A profile that meets very many owners reads them
+    in parts.
+    """
+    lists = (
+        light.join(facts, "Profile")
+        .groupBy("StockCode")
+        .agg(F.collect_list(F.struct(F.col("Profile").alias("Other"), "Size", "Hot")).alias("List"))
+    )
+    owners = light.groupBy("StockCode").agg(F.count(F.lit(1)).alias("Owners"))
+    met = light.join(owners, "StockCode").groupBy("Profile").agg(F.sum("Owners").alias("Met"))
+    wide = met.filter(F.col("Met") > at_once).select("Profile", F.ceil(F.col("Met") / at_once).alias("Parts"))
+    probes = light.join(wide, "Profile", "left").join(lists, "StockCode")
+    each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("Parts", F.lit(1).cast("bigint")) - 1))
+    own = F.when(F.col("Parts").isNull(), F.col("List")).otherwise(
+        F.filter("List", lambda o: (F.pmod(F.xxhash64(o["Other"]), F.col("Parts")) == F.col("Part")) | (o["Other"] == F.col("Profile")))
+    )
+    return probes.select("Profile", "Parts", "List", each.alias("Part")).select("Profile", "Part", own.alias("List"))
+
+
+def _best_by_hot_products(asked: DataFrame, hot_sets: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(S, Other, OtherSize, Common): for each signature asked for, the k closest classes by hot products alone.
+
+    `asked` has (S, Floor), the closeness that a class must reach; `classes` has (T, Other, Size). The lists of hot
+    products are read by bands of sizes, small ones first: a class of size n comes to |S|^2 / n at most, so
+    that a signature leaves once its k-th best is above that for all larger bands. A band's lists are divided by
+    the class, so that no list and no task holds a band.
+    """
+    banded = stage(classes.withColumn("Band", F.floor(F.log2("Size")).cast("int")))
+    bands = banded.groupBy("Band").agg(F.count(F.lit(1)).alias("n")).orderBy("Band").collect()  # 64 at most
+    sizes = hot_sets.groupBy("Signature").agg(F.count(F.lit(1)).alias("Items"))
+    still = stage(asked.join(sizes.withColumnRenamed("Signature", "S"), "S"))
+    found = None
+    for band in bands:
+        parts = -(-band["n"] // LIST)
+        least = 1 << band["Band"]
+        open_ = still.filter(F.col("Items") * F.col("Items") / F.lit(float(least)) >= F.col("Floor")).select("S")
+        lists = (
+            banded.filter(F.col("Band") == band["Band"])
+            .withColumn("Part", F.pmod(F.xxhash64("Other"), F.lit(parts)))
+            .join(hot_sets.withColumnRenamed("Signature", "T"), "T")
+            .groupBy("StockCode", "Part")
+            .agg(F.collect_list(F.struct("Other", "Size", F.lit(0).cast("bigint").alias("Hot"))).alias("List"))
+        )
+        asking = hot_sets.withColumnRenamed("Signature", "S").join(open_, "S", "left_semi").select("S", "StockCode")
+        read = _best_overlaps(spread_join(asking, lists, "StockCode"), "S", k, hot=False, among=False)
+        place = F.row_number().over(
+            Window.partitionBy("S").orderBy(F.desc(_closeness(F.col("Common"), F.col("OtherSize"))), "Other")
+        )
+        merged = read if found is None else read.unionByName(found)
+        found = stage(merged.withColumn("Place", place).filter(F.col("Place") <= k).drop("Place"))
+        if band is not bands[-1]:
+            reached = (
+                found.groupBy("S")
+                .agg(F.count(F.lit(1)).alias("n"), F.min(_closeness(F.col("Common"), F.col("OtherSize"))).alias("Least"))
+                .filter(F.col("n") == k)
+            )
+            still = stage(
+                still.join(reached, "S", "left").select("S", "Items", F.greatest("Floor", F.coalesce("Least", F.lit(0.0))).alias("Floor"))
+            )
+    return found
+
+
 def _similar_to_all(owned: DataFrame, k: int, hot_owners: int) -> DataFrame:
     # customers with equal sets form one profile; its first k + 1 members can stand for all
     members, sets = _signatures(owned, "CustomerID", "StockCode")
@@ -489,29 +638,29 @@ def _similar_to_all(owned: DataFrame, k: int, hot_owners: int) -> DataFrame:
         place = F.row_number().over(Window.partitionBy(to).orderBy(*closest))
         return candidates.withColumn("Place", place).filter(F.col("Place") <= k + 1)
 
-    # candidates that share light products: at most hot_owners^2 / 2 pairs per product
     light, hot = _split_hot(sets, "StockCode", hot_owners)
-    halves = (
-        light.select(F.col("Profile").alias("P"), "StockCode")
-        .join(light.select(F.col("Profile").alias("Q"), "StockCode"), "StockCode")
-        .filter(F.col("P") < F.col("Q"))
-        .groupBy("P", "Q")
-        .agg(F.count(F.lit(1)).alias("Common"))
+    first = profiles.filter(F.col("CustomerID") == F.col("Profile")).select("Profile", "Size")
+    if hot is None:
+        facts = first.withColumn("Hot", F.lit(0).cast("bigint"))
+    else:
+        hot_items = hot.groupBy("Profile").agg(F.count(F.lit(1)).alias("Hot"))
+        facts = first.join(hot_items, "Profile", "left").fillna(0, ["Hot"])
+    # a profile's first member has its number, so k + 1 profiles hold the k + 1 closest customers
+    met = _best_overlaps(light_probes(light, stage(facts)), "Profile", k + 1, hot is not None, among=True).select(
+        F.col("Profile").alias("P"), F.col("Other").alias("Q"), "Common"
     )
 
     if hot is not None:
         # what two profiles share of the hot products depends on their signatures only
         hot_members, hot_sets = _signatures(hot, "Profile", "StockCode")
+        hot_sets = stage(hot_sets)
         signature_of = hot_members.select("Profile", "Signature")
-        halves = _add_hot_common(stage(halves), signature_of, hot_sets)
+        met = _add_hot_common(stage(met), signature_of, hot_sets)
 
     # a profile's members are each other's nearest; every profile is spelled out by its first members
-    itself = profiles.filter(F.col("CustomerID") == F.col("Profile")).select(
-        F.col("Profile").alias("P"), F.col("Profile").alias("Q"), F.col("Size").alias("Common")
-    )
+    itself = first.select(F.col("Profile").alias("P"), F.col("Profile").alias("Q"), F.col("Size").alias("Common"))
     in_full = (
-        _both_ways(halves, "P", "Q", "Common")
-        .unionByName(itself)
+        met.unionByName(itself)
         .join(standing.select(F.col("Profile").alias("Q"), *other), "Q")
         .select("P", "OtherID", "OtherSize", "Common")
     )
@@ -524,35 +673,31 @@ def _similar_to_all(owned: DataFrame, k: int, hot_owners: int) -> DataFrame:
         worst = best.filter(F.col("Place") == k + 1).select(
             F.col("P").alias("Profile"), _closeness(F.col("Common"), F.col("OtherSize")).alias("Worst")
         )
-        still_open = (
+        still_open = stage(
             hot_members.join(worst, "Profile", "left")
             .filter(F.col("Worst").isNull() | (F.col("Size") >= F.col("Worst")))
-            .select("Profile", "Signature")
-        )
-        asked = hot_sets.join(still_open.select("Signature"), "Signature", "left_semi")
-        hot_common = (
-            spread_join(
-                asked.select(F.col("Signature").alias("S"), "StockCode"),
-                hot_sets.select(F.col("Signature").alias("T"), "StockCode"),
-                "StockCode",
-            )
-            .groupBy("S", "T")
-            .agg(F.count(F.lit(1)).alias("Common"))
+            .select(F.col("Profile").alias("P"), F.col("Signature").alias("S"), F.coalesce("Worst", F.lit(0.0)).alias("Floor"))
         )
-        # the first members of each (signature, size) class stand for the class
+        # the first members of each (signature, size) class stand for the class, which has the number of the first
         in_class = Window.partitionBy("Signature", "Size").orderBy("CustomerID")
-        class_firsts = (
+        class_members = stage(
             standing.join(signature_of, "Profile")
             .withColumn("Place", F.row_number().over(in_class))
             .filter(F.col("Place") <= k + 1)
-            .select(F.col("Signature").alias("T"), *other)
+            .withColumn("Other", F.min("CustomerID").over(Window.partitionBy("Signature", "Size")))
+            .select(F.col("Signature").alias("T"), "Other", "Size", "CustomerID")
         )
-        hot_list = nearest(hot_common.join(class_firsts, "T").drop("T"), "S").drop("Place")
-        from_hot = still_open.select(F.col("Profile").alias("P"), F.col("Signature").alias("S")).join(hot_list, "S")
+        classes = class_members.filter(F.col("CustomerID") == F.col("Other")).select("T", "Other", "Size")
+        floors = still_open.groupBy("S").agg(F.min("Floor").alias("Floor"))
+        by_hot = _best_by_hot_products(floors, hot_sets, classes, k + 1)
+        hot_list = nearest(
+            by_hot.join(class_members.select("Other", F.col("CustomerID").alias("OtherID")), "Other").drop("Other"), "S"
+        ).drop("Place")
+        from_hot = still_open.select("P", "S").join(hot_list, "S").select("P", "OtherID", "OtherSize", "Common")
         # both lists are cut before they are merged, as in _merge_best
         merged = (
             best.drop("Place")
-            .unionByName(from_hot.drop("S"))
+            .unionByName(from_hot)
             .groupBy("P", "OtherID", "OtherSize")
             .agg(F.max("Common").alias("Common"))
         )
@@ -576,7 +721,7 @@ def _similar_to_all(owned: DataFrame, k: int, hot_owners: int) -> DataFrame:
 
 def _add_hot_common(halves: DataFrame, signature_of: DataFrame, hot_sets: DataFrame) -> DataFrame:
     """Add to Common of (P, Q) what their signatures share, computed once per pair of signatures."""
-    signed = halves.join(signature_of.toDF("P", "S"), "P", "left").join(signature_of.toDF("Q", "T"), "Q", "left")
+    signed = stage(halves.join(signature_of.toDF("P", "S"), "P", "left").join(signature_of.toDF("Q", "T"), "Q", "left"))
     wanted = signed.filter(F.col("S").isNotNull() & F.col("T").isNotNull()).select("S", "T").distinct()
     shared = (
         spread_join(wanted, hot_sets.select(F.col("Signature").alias("S"), "StockCode"), "S")

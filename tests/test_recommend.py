@@ -188,3 +188,50 @@ def test_spread_join_divides_a_key_that_is_large_on_the_left(spark):
     finally:
         for name in settings:
             spark.conf.unset(name)
+
+
+def test_similar_customers_make_few_pair_rows(spark, capsys):
+    """Rows between the reading of the owners of products and the k best, against the pairs behind them."""
+    import __spark_entry__ as registry
+
+    owned = rec.stage(rec.owned_products(registry.transactions(spark, "/root/testdata/sf0.01")))
+    sets = owned.withColumnRenamed("CustomerID", "Profile")
+    facts = sets.groupBy("Profile").count().selectExpr("Profile", "count AS Size", "0L AS Hot")
+    owners = [r["count"] for r in sets.groupBy("StockCode").count().collect()]
+    pairs = sum(n * (n - 1) // 2 for n in owners)
+    probes = rec.light_probes(sets, facts)
+    rows = probes.count() + rec._best_overlaps(probes, "Profile", 11, hot=False, among=True).count()
+    with capsys.disabled():
+        print(f"\nrows for similar customers: {rows} for {pairs} pairs with a common product ({rows / pairs:.1%})")
+    assert rows < 0.1 * pairs
+
+
+@pytest.mark.parametrize("at_once", [3, 50])
+def test_a_customer_of_very_many_partners_is_read_in_parts(spark, at_once):
+    lines = make_lines(4)
+    owned = spark.createDataFrame(lines, COLUMNS).select("CustomerID", "StockCode").distinct()
+    sets = rec.stage(owned.withColumnRenamed("CustomerID", "Profile"))
+    facts = sets.groupBy("Profile").count().selectExpr("Profile", "count AS Size", "0L AS Hot")
+    parted = rec.light_probes(sets, facts, at_once)
+    assert parted.filter("Part > 0").count() > 0
+    met = rec._best_overlaps(parted, "Profile", 1000, hot=False, among=True).collect()
+    got = {(r.Profile, r.Other, r.Common, r.OtherSize) for r in met}
+    assert len(got) == len(met)
+    by = defaultdict(set)
+    for r in sets.collect():
+        by[r.Profile].add(r.StockCode)
+    assert got == {(a, b, len(by[a] & by[b]), len(by[b])) for a in by for b in by if a != b and by[a] & by[b]}
+
+
+def test_hot_products_are_read_by_bands_of_sizes(spark):
+    """Customers of two hot products and very different numbers of rare ones; ties at every size."""
+    rng = random.Random(11)
+    lines = []
+    for customer in range(1, 61):
+        hot = [f"H{h}" for h in range(3) if rng.random() < 0.7] or ["H0"]
+        rare = [f"R{customer}_{i}" for i in range(rng.choice([0, 0, 1, 3, 7, 20]))]
+        lines += [(str(customer), code, "", 1, customer) for code in hot + rare]
+    tx = spark.createDataFrame(lines, COLUMNS)
+    got = rec.similar_customers(tx, k=4, hot_owners=10).collect()
+    assert len(got) == len(set(got))
+    assert {(r.CustomerID, r.Rank, r.SimilarID, round(r.Similarity, 9)) for r in got} == brute_similar(lines, 4)
