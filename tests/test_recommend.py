@@ -191,7 +191,7 @@ def test_spread_join_divides_a_key_that_is_large_on_the_left(spark):
 
 
 def test_similar_customers_make_few_pair_rows(spark, capsys):
-    """Rows between the reading of the owners of products and the k best, against the pairs behind them."""
+    """Pairs of customers that become rows, against the pairs that share a product (each a row in a plain self-join)."""
     import __spark_entry__ as registry
 
     owned = rec.stage(rec.owned_products(registry.transactions(spark, "/root/testdata/sf0.01")))
@@ -200,9 +200,11 @@ def test_similar_customers_make_few_pair_rows(spark, capsys):
     owners = [r["count"] for r in sets.groupBy("StockCode").count().collect()]
     pairs = sum(n * (n - 1) // 2 for n in owners)
     probes = rec.light_probes(sets, facts)
-    rows = probes.count() + rec._best_overlaps(probes, "Profile", 11, hot=False, among=True).count()
+    lists, rows = probes.count(), rec._best_overlaps(probes, "Profile", 11, hot=False, among=True).count()
     with capsys.disabled():
-        print(f"\nrows for similar customers: {rows} for {pairs} pairs with a common product ({rows / pairs:.1%})")
+        print(f"\n{pairs} pairs share a product: {rows} become rows ({rows / pairs:.1%}), from {lists} lists read")
+    # no pair is a row before it is counted: a profile reads one list per product it owns
+    assert lists == sets.count()
     assert rows < 0.1 * pairs
 
 
