@@ -22,7 +22,7 @@ customer may not be given). The candidates that the other products do touch are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -34,6 +34,12 @@ from tallybook.functions.expressions import money
 from tallybook.sources.staging import stage
 
 
+# entries of lists that a task merges for one key; beyond, they are divided into parts
+OWNERS_AT_ONCE = 4_000_000
+# about so many entries make one list
+LIST = 1 << 16
+
+
 def basket(tx: DataFrame) -> DataFrame:
     """Distinct (InvoiceNo, StockCode) with units above zero."""
     return _pairs(tx, "InvoiceNo")
@@ -300,19 +306,79 @@ def _split_hot(pairs: DataFrame, item: str, limit: int) -> tuple[DataFrame, Data
     if hot.isEmpty():
         return pairs, None
     hot = stage(hot)
-    light = pairs.join(hot, item, "left_anti").select(*pairs.columns)
+    light = stage(pairs.join(hot, item, "left_anti").select(*pairs.columns))
     return light, stage(pairs.join(hot, item, "left_semi").select(*pairs.columns))
 
 
-def _partner_counts(holdings: DataFrame, pair_counts: DataFrame, key: str) -> DataFrame:
-    """(key, StockCode, n) for every held product and each of its partners."""
-    held = holdings.select(key, F.col("StockCode").alias("A"))
-    return spread_join(held, pair_counts, "A").select(key, F.col("B").alias("StockCode"), "n")
+def _partners_of(baskets: DataFrame, products: DataFrame, part: int = 2_000) -> DataFrame:
+    """(A, B, n) as in `co_occurrence`, for the products A of a table: only their invoices are paired."""
+    asked = baskets.join(products, "StockCode", "left_semi").select("InvoiceNo", F.col("StockCode").alias("A"))
+    theirs = baskets.join(asked.select("InvoiceNo").distinct(), "InvoiceNo", "left_semi")
+    return (
+        spread_join(asked, theirs.select("InvoiceNo", F.col("StockCode").alias("B")), "InvoiceNo", part)
+        .filter(F.col("A") != F.col("B"))
+        .groupBy("A", "B")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+# in a product's own list, which is read by its owners: below all sums of counts
+OWNED = -(1 << 50)
+# marks the entry that says how much the hot products of a customer can add at most
+HOT_BOUND = -1
+
+
+def _partner_lists(pair_counts: DataFrame) -> DataFrame:
+    """(StockCode, List): the partners of a product with their counts, and the product itself as owned.
+
+    Long lists are divided by partner.
+    """
+    sizes = pair_counts.groupBy("A").agg(F.ceil(F.count(F.lit(1)) / LIST).alias("Lists"))
+    return (
+        pair_counts.join(sizes, "A")
+        .groupBy(F.col("A").alias("StockCode"), F.pmod(F.xxhash64("B"), F.col("Lists")).alias("Chunk"))
+        .agg(F.collect_list(F.struct(F.col("B").alias("Other"), F.col("n").alias("Value"))).alias("List"))
+        .select("StockCode", F.array_append("List", _entry(F.col("StockCode"), OWNED)).alias("List"))
+    )
+
+
+def _entry(other: Column, value: Column | int) -> Column:
+    value = value if isinstance(value, Column) else F.lit(value)
+    return F.struct(other.cast("bigint").alias("Other"), value.cast("bigint").alias("Value"))
+
+
+def _item_scores(probes: DataFrame, key: str, k: int | None, hot: bool) -> DataFrame:
+    """(key, StockCode, Score): summed counts of the products that a key does not own.
+
+    The k first by score and number, or all without k. With `hot`, all that could be among the first k if the hot
+    products added as much as the bound says.
+    """
+
+    def choose(_: int, entries: np.ndarray) -> list:
+        products, scores = entries
+        more = scores[products == HOT_BOUND].max(initial=0)
+        free = (scores > 0) & (products != HOT_BOUND)
+        products, scores = products[free], scores[free]
+        if k is None:
+            return [products, scores]
+        if hot:
+            enough = np.partition(scores, -k)[-k] if len(scores) > k else 0
+            chosen = np.flatnonzero(scores + more >= enough)
+        else:
+            chosen = np.lexsort((products, -scores))[:k]
+        return [products[chosen], scores[chosen]]
+
+    return _from_lists(probes, key, ["StockCode", "Score"], choose)
 
 
 def item_scores(holdings: DataFrame, pair_counts: DataFrame, key: str) -> DataFrame:
-    """Sum over the held products of their co-occurrence with each other product."""
-    return _partner_counts(holdings, pair_counts, key).groupBy(key, "StockCode").agg(F.sum("n").alias("Score"))
+    """Sum over the held products (numbers) of their co-occurrence with each product that is not held."""
+    return _item_scores(_in_parts(holdings, _partner_lists(pair_counts), key, OWNERS_AT_ONCE), key, None, False)
+
+
+def numbered_products(products: DataFrame) -> DataFrame:
+    """(StockCode, Number): numbers in the order of the codes, without gathering the codes anywhere."""
+    return stage(products.select("StockCode").distinct().orderBy("StockCode").withColumn("Number", F.monotonically_increasing_id()))
 
 
 def item_recommendations(
@@ -328,13 +394,25 @@ def item_recommendations(
     shorter than k are filled up with products of score 0, by code. Products owned by more than
     `hot_owners` of these customers are scored by signature; the result does not depend on it.
     """
-    baskets = basket(tx)
-    pair_counts = stage(co_occurrence(baskets))
-    owned = owned_products(tx)
-    if selected is not None:
+    baskets, owned = basket(tx), owned_products(tx)
+    numbers = numbered_products(baskets)
+
+    def by_number(pairs: DataFrame, key: str) -> DataFrame:
+        return pairs.join(numbers, "StockCode").select(key, F.col("Number").alias("StockCode"))
+
+    in_baskets = by_number(baskets, "InvoiceNo")
+    if selected is None:
+        pair_counts = stage(co_occurrence(in_baskets))
+    else:
         owned = owned.join(selected.select("CustomerID"), "CustomerID", "left_semi").select(*owned.columns)
+        asked = by_number(owned, "CustomerID").select("StockCode").distinct()
+        pair_counts = stage(_partners_of(stage(in_baskets), stage(asked)))
     owned = stage(owned)
-    best = _best_items(owned, pair_counts, k, hot_owners)
+    best = _best_items(stage(by_number(owned, "CustomerID")), pair_counts, k, hot_owners)
+    coded = numbers.select("StockCode", F.col("Number").alias("Of"))
+    best = best.join(coded, best["StockCode"] == coded["Of"]).select(
+        "CustomerID", coded["StockCode"], "Score", "Rank"
+    )
     if include_zero:
         best = _fill_with_products(stage(best), owned, baskets.select("StockCode").distinct(), k)
     return best
@@ -371,25 +449,30 @@ def _fill_with_products(best: DataFrame, owned: DataFrame, products: DataFrame,
 
 
 def _best_items(owned: DataFrame, pair_counts: DataFrame, k: int, hot_owners: int) -> DataFrame:
+    """Products are numbers here, in the order of their codes."""
     light, hot = _split_hot(owned, "StockCode", hot_owners)
-
-    # candidates that light products lead to; owned products join in as marks, which saves a join
-    marks = owned.select("CustomerID", "StockCode", F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("Owned"))
-    in_full = (
-        _partner_counts(light, pair_counts, "CustomerID")
-        .withColumn("Owned", F.lit(False))
-        .unionByName(marks)
-        .groupBy("CustomerID", "StockCode")
-        .agg(F.sum("n").alias("Score"), F.max("Owned").alias("Owned"))
-        .filter(~F.col("Owned"))
-        .drop("Owned")
-    )
+    lists = stage(_partner_lists(pair_counts))
     if hot is None:
-        return _best(in_full, k)
+        return _best(_item_scores(_in_parts(light, lists, "CustomerID", OWNERS_AT_ONCE), "CustomerID", k, False), k)
 
     members, signature_items = _signatures(hot, "CustomerID", "StockCode")
     signature_of = members.select("CustomerID", "Signature")
-    hot_scores = stage(item_scores(signature_items, pair_counts, "Signature").withColumnRenamed("Score", "HotScore"))
+    hot_scores = stage(
+        _item_scores(_in_parts(signature_items, lists, "Signature", OWNERS_AT_ONCE), "Signature", None, False)
+        .withColumnRenamed("Score", "HotScore")
+    )
+
+    # candidates that light products lead to: whatever the hot ones add at most must lift them to the k-th
+    bound = signature_of.join(hot_scores.groupBy("Signature").agg(F.max("HotScore").alias("Most")), "Signature")
+    facts = (
+        bound.select("CustomerID", _entry(F.lit(HOT_BOUND), F.col("Most")).alias("e"))
+        .unionByName(hot.select("CustomerID", _entry(F.col("StockCode"), OWNED).alias("e")))
+        .groupBy("CustomerID")
+        .agg(F.collect_list("e").alias("List"))  # a customer's hot products
+    )
+    probes = _in_parts(light, lists, "CustomerID", OWNERS_AT_ONCE)
+    each = probes.select("CustomerID", "Part").distinct()
+    in_full = _item_scores(probes.unionByName(each.join(facts, "CustomerID")), "CustomerID", k, True)
     in_full = (
         in_full.join(signature_of, "CustomerID", "left")
         .join(hot_scores, ["Signature", "StockCode"], "left")
@@ -484,27 +567,86 @@ def _fill_with_customers(found: DataFrame, asked: DataFrame, everyone: DataFrame
     )
 
 
-# owners that a task counts together for one customer; beyond, owners are divided into parts
-OWNERS_AT_ONCE = 4_000_000
-# owners in one list of a hot product
-LIST = 1 << 16
+def _read_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each key and part its entries, merged: Other, the sum of Value, and whatever else belongs to Other.
+
+    Rows are (key, Part, List), where those of one key and part follow one another. What is held is merged every
+    million entries, so that memory follows the distinct others.
+    """
+
+    def merged(pieces: list[np.ndarray]) -> np.ndarray:
+        met = np.concatenate(pieces, axis=1)
+        others, first, inverse = np.unique(met[0], return_index=True, return_inverse=True)
+        sums = np.bincount(inverse, weights=met[1], minlength=len(others)).astype(np.int64)
+        return np.vstack([others, sums, met[2:, first]])
+
+    now: tuple | None = None
+    pieces: list[np.ndarray] = []
+    held = 0
+    for batch in batches:
+        keys, parts = (np.asarray(batch.column(i)) for i in (0, 1))
+        if not len(keys):
+            continue
+        flat = batch.column(2).flatten()
+        entries = np.vstack([np.asarray(flat.field(i)) for i in range(flat.type.num_fields)])
+        ends = np.concatenate([[0], np.cumsum(np.asarray(batch.column(2).value_lengths()))])
+        starts = np.flatnonzero((np.diff(keys) != 0) | (np.diff(parts) != 0)) + 1
+        for i, j in pairwise([0, *starts.tolist(), len(keys)]):
+            if (group := (int(keys[i]), int(parts[i]))) != now:
+                if now is not None:
+                    yield now[0], merged(pieces)
+                now, pieces, held = group, [], 0
+            pieces.append(entries[:, ends[i] : ends[j]])
+            held += ends[j] - ends[i]
+            if held > 1_000_000:
+                pieces, held = [merged(pieces)], 0
+    if now is not None:
+        yield now[0], merged(pieces)
+
+
+def _from_lists(probes: DataFrame, key: str, names: list[str], choose: Callable[[int, np.ndarray], list]) -> DataFrame:
+    """The columns that `choose` makes of the merged entries of each key and part, after the key."""
+    schema = ", ".join(f"{c} bigint" for c in [key, *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[list] = []
+
+        def table() -> pa.RecordBatch:
+            columns = [pa.array(np.concatenate([d[i] for d in done]), pa.int64()) for i in range(len(names) + 1)]
+            done.clear()
+            return pa.RecordBatch.from_arrays(columns, names=[key, *names])
+
+        rows = 0
+        for x, entries in _read_lists(batches):
+            chosen = choose(x, entries)
+            done.append([np.full(len(chosen[0]), x), *chosen])
+            rows += len(chosen[0])
+            if rows > 100_000:
+                yield table()
+                rows = 0
+        if done:
+            yield table()
+
+    ordered = probes.select(key, "Part", "List").repartition(key, "Part").sortWithinPartitions(key, "Part")
+    return ordered.mapInArrow(run, schema)
 
 
 def _best_overlaps(probes: DataFrame, key: str, k: int, hot: bool, among: bool) -> DataFrame:
     """(key, Other, Common, OtherSize): the best of those met most often in the lists that a key reads.
 
-    A probe is a key, a part, and a list of (Other, Size, Hot). Counting is done in numpy, list by list, so that the
-    pairs behind the lists never become rows. Without `hot`, exactly the k first by closeness and number are
-    returned; with it, all that could be among them if every hot product of the smaller holder were shared. Keys that
-    are `among` the others are not compared with themselves.
+    A list holds (Other, Value, Size, Hot) with a Value of one. Counting is done in numpy, so that the pairs behind the
+    lists never become rows. Without `hot`, exactly the k first by closeness and number are returned; with it, all that
+    could be among them if every hot product of the smaller holder were shared. Keys that are `among` the others are
+    not compared with themselves.
     """
 
-    def best(x: int, others: np.ndarray, common: np.ndarray, size: np.ndarray, hots: np.ndarray) -> list[np.ndarray]:
+    def choose(x: int, entries: np.ndarray) -> list:
         hot_items = 0
         if among:
-            itself = others == x
-            hot_items = int(hots[itself][0])
-            others, common, size, hots = (v[~itself] for v in (others, common, size, hots))
+            itself = entries[0] == x
+            hot_items = int(entries[3][itself][0])
+            entries = entries[:, ~itself]
+        others, common, size, hots = entries
         sure = common * common / size
         if hot:
             enough = np.partition(sure, -k)[-k] if len(sure) > k else 0.0
@@ -512,72 +654,40 @@ def _best_overlaps(probes: DataFrame, key: str, k: int, hot: bool, among: bool)
             chosen = np.flatnonzero(possible * possible / size >= enough)
         else:
             chosen = np.lexsort((others, -sure))[:k]
-        return [np.full(len(chosen), x), others[chosen], common[chosen], size[chosen]]
+        return [others[chosen], common[chosen], size[chosen]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: tuple | None = None
-        pieces: list[np.ndarray] = []
-        done: list[list[np.ndarray]] = []
+    return _from_lists(probes, key, ["Other", "Common", "OtherSize"], choose)
 
-        def counted() -> np.ndarray:
-            """Rows Other, count, Size, Hot of what is held so far."""
-            met = np.concatenate(pieces, axis=1)
-            others, first, inverse = np.unique(met[0], return_index=True, return_inverse=True)
-            return np.vstack([others, np.bincount(inverse, weights=met[1]).astype(np.int64), met[2][first], met[3][first]])
 
-        def table() -> pa.RecordBatch:
-            columns = [np.concatenate([d[i] for d in done]) for i in range(4)]
-            done.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
-
-        for batch in batches:
-            keys, parts = (np.asarray(batch.column(i)) for i in (0, 1))
-            flat = batch.column(2).flatten()
-            entries = np.vstack([np.asarray(flat.field(0)), np.ones(len(flat), np.int64), *(np.asarray(flat.field(i)) for i in (1, 2))])
-            ends = np.concatenate([[0], np.cumsum(np.asarray(batch.column(2).value_lengths()))])
-            # the lists of one key and part follow one another
-            starts = np.flatnonzero((np.diff(keys) != 0) | (np.diff(parts) != 0)) + 1
-            for i, j in pairwise([0, *starts.tolist(), len(keys)]):
-                if (group := (int(keys[i]), int(parts[i]))) != now:
-                    if now is not None:
-                        done.append(best(now[0], *counted()))
-                    now, pieces, held = group, [], 0
-                pieces.append(entries[:, ends[i] : ends[j]])
-                held += ends[j] - ends[i]
-                if held > 1_000_000:
-                    pieces, held = [counted()], 0
-            if done:
-                yield table()
-        if now is not None:
-            done.append(best(now[0], *counted()))
-            yield table()
+def _in_parts(reading: DataFrame, lists: DataFrame, key: str, at_once: int) -> DataFrame:
+    """(key, Part, List): every list that a key reads, by StockCode, with keys that meet very many others in parts.
 
-    names = [key, "Other", "Common", "OtherSize"]
-    schema = f"{key} bigint, Other bigint, Common bigint, OtherSize bigint"
-    ordered = probes.select(key, "Part", "List").repartition(key, "Part").sortWithinPartitions(key, "Part")
-    return ordered.mapInArrow(run, schema)
+    A part has the entries whose Other falls to it, and that of the key itself.
+    """
+    lengths = lists.groupBy("StockCode").agg(F.sum(F.size("List")).alias("Entries"))
+    met = reading.join(lengths, "StockCode").groupBy(key).agg(F.sum("Entries").alias("Met"))
+    wide = met.filter(F.col("Met") > at_once).select(key, F.ceil(F.col("Met") / at_once).alias("Parts"))
+    each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("Parts", F.lit(1).cast("bigint")) - 1))
+
+    def falls(o: Column) -> Column:
+        return (F.pmod(F.xxhash64(o["Other"]), F.col("Parts")) == F.col("Part")) | (o["Other"] == F.col(key))
+
+    own = F.when(F.col("Parts").isNull(), F.col("List")).otherwise(F.filter("List", falls))
+    probes = spread_join(reading.select(key, "StockCode"), lists.select("StockCode", "List"), "StockCode")
+    return probes.join(wide, key, "left").select(key, "Parts", "List", each.alias("Part")).select(key, "Part", own.alias("List"))
 
 
 def light_probes(light: DataFrame, facts: DataFrame, at_once: int = OWNERS_AT_ONCE) -> DataFrame:
     """(Profile, Part, List): the owners of every light product of every profile, with their sizes and hot products.
 
-    A list has at most as many owners as a light product may have. A profile that meets very many owners reads them
-    in parts.
+    A list has at most as many owners as a light product may have.
     """
     lists = (
         light.join(facts, "Profile")
         .groupBy("StockCode")
-        .agg(F.collect_list(F.struct(F.col("Profile").alias("Other"), "Size", "Hot")).alias("List"))
-    )
-    owners = light.groupBy("StockCode").agg(F.count(F.lit(1)).alias("Owners"))
-    met = light.join(owners, "StockCode").groupBy("Profile").agg(F.sum("Owners").alias("Met"))
-    wide = met.filter(F.col("Met") > at_once).select("Profile", F.ceil(F.col("Met") / at_once).alias("Parts"))
-    probes = light.join(wide, "Profile", "left").join(lists, "StockCode")
-    each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("Parts", F.lit(1).cast("bigint")) - 1))
-    own = F.when(F.col("Parts").isNull(), F.col("List")).otherwise(
-        F.filter("List", lambda o: (F.pmod(F.xxhash64(o["Other"]), F.col("Parts")) == F.col("Part")) | (o["Other"] == F.col("Profile")))
+        .agg(F.collect_list(F.struct(F.col("Profile").alias("Other"), F.lit(1).cast("bigint").alias("Value"), "Size", "Hot")).alias("List"))
     )
-    return probes.select("Profile", "Parts", "List", each.alias("Part")).select("Profile", "Part", own.alias("List"))
+    return _in_parts(light, stage(lists), "Profile", at_once)
 
 
 def _best_by_hot_products(asked: DataFrame, hot_sets: DataFrame, classes: DataFrame, k: int) -> DataFrame:
@@ -602,10 +712,10 @@ def _best_by_hot_products(asked: DataFrame, hot_sets: DataFrame, classes: DataFr
             .withColumn("Part", F.pmod(F.xxhash64("Other"), F.lit(parts)))
             .join(hot_sets.withColumnRenamed("Signature", "T"), "T")
             .groupBy("StockCode", "Part")
-            .agg(F.collect_list(F.struct("Other", "Size", F.lit(0).cast("bigint").alias("Hot"))).alias("List"))
+            .agg(F.collect_list(F.struct("Other", F.lit(1).cast("bigint").alias("Value"), "Size", F.lit(0).cast("bigint").alias("Hot"))).alias("List"))
         )
         asking = hot_sets.withColumnRenamed("Signature", "S").join(open_, "S", "left_semi").select("S", "StockCode")
-        read = _best_overlaps(spread_join(asking, lists, "StockCode"), "S", k, hot=False, among=False)
+        read = _best_overlaps(spread_join(asking, stage(lists), "StockCode"), "S", k, hot=False, among=False)
         place = F.row_number().over(
             Window.partitionBy("S").orderBy(F.desc(_closeness(F.col("Common"), F.col("OtherSize"))), "Other")
         )
@@ -627,7 +737,7 @@ def _similar_to_all(owned: DataFrame, k: int, hot_owners: int) -> DataFrame:
     # customers with equal sets form one profile; its first k + 1 members can stand for all
     members, sets = _signatures(owned, "CustomerID", "StockCode")
     profiles = members.withColumnRenamed("Signature", "Profile")
-    sets = sets.withColumnRenamed("Signature", "Profile")
+    sets = stage(sets.withColumnRenamed("Signature", "Profile"))
     by_id = F.row_number().over(Window.partitionBy("Profile").orderBy("CustomerID"))
     standing = profiles.withColumn("Place", by_id).filter(F.col("Place") <= k + 1).drop("Place")
     other = [F.col("CustomerID").alias("OtherID"), F.col("Size").alias("OtherSize")]

@@ -237,3 +237,44 @@ def test_hot_products_are_read_by_bands_of_sizes(spark):
     got = rec.similar_customers(tx, k=4, hot_owners=10).collect()
     assert len(got) == len(set(got))
     assert {(r.CustomerID, r.Rank, r.SimilarID, round(r.Similarity, 9)) for r in got} == brute_similar(lines, 4)
+
+
+def test_item_recommendations_make_few_rows(spark, capsys):
+    """Rows that scoring makes, against one for each partner of each owned product."""
+    import __spark_entry__ as registry
+
+    tx = registry.transactions(spark, "/root/testdata/sf0.001")
+    numbers = rec.numbered_products(rec.basket(tx))
+    codes = [r.StockCode for r in numbers.orderBy("Number").collect()]
+    assert codes == sorted(codes) and len(codes) == len(set(codes))
+
+    def numbered(pairs, key):
+        return rec.stage(pairs.join(numbers, "StockCode").selectExpr(key, "Number AS StockCode"))
+
+    owned = numbered(rec.owned_products(tx), "CustomerID")
+    counts = rec.stage(rec.co_occurrence(numbered(rec.basket(tx), "InvoiceNo")))
+    partners = owned.join(counts.withColumnRenamed("A", "StockCode"), "StockCode").count()
+    probes = rec._in_parts(owned, rec._partner_lists(counts), "CustomerID", 1 << 22)
+    rows = rec._item_scores(probes, "CustomerID", 10, False).count()
+    with capsys.disabled():
+        print(f"\n{partners} partners of owned products: {rows} become rows ({rows / partners:.1%})")
+    assert rows < 0.1 * partners
+
+
+def test_only_the_invoices_of_a_chosen_customer_are_paired(spark):
+    lines = make_lines(6)
+    baskets = spark.createDataFrame(lines, COLUMNS).select("InvoiceNo", "StockCode").distinct()
+    products = spark.createDataFrame([("P03",), ("P07",)], "StockCode string")
+    got = {tuple(r) for r in rec._partners_of(baskets, products, part=2).select("A", "B", "n").collect()}
+    every = {tuple(r) for r in rec.co_occurrence(baskets).select("A", "B", "n").collect()}
+    assert got == {t for t in every if t[0] in ("P03", "P07")}
+
+
+@pytest.mark.parametrize("at_once", [40, 1 << 22])
+def test_scores_in_parts_equal_scores(spark, at_once, monkeypatch):
+    monkeypatch.setattr(rec, "OWNERS_AT_ONCE", at_once)
+    monkeypatch.setattr(rec, "LIST", 7)
+    lines = make_lines(8)
+    tx = spark.createDataFrame(lines, COLUMNS)
+    got = rec.item_recommendations(tx, k=4, hot_owners=9).select("CustomerID", "Rank", "StockCode", "Score").collect()
+    assert {tuple(r) for r in got} == brute_items(lines, 4)
