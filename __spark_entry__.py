@@ -6,26 +6,29 @@ import os
 import sys
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tallybook import oracle  # noqa: E402
 from tallybook.constants import CHURN_FEATURES, FORECAST_FEATURES, RFM_METRICS, SEGMENT_NAMES  # noqa: E402
-from tallybook.operators import churn, clv, forecast, metrics, overview, recommend, rfm  # noqa: E402
+from tallybook.operators import churn, clv, forecast, metrics, overview, recommend, rfm, sketches  # noqa: E402
 from tallybook.operators.cleaning import clean  # noqa: E402
 from tallybook.plans import churn as churn_plan  # noqa: E402
 from tallybook.plans import forecast as forecast_plan  # noqa: E402
 from tallybook.plans import forests, lifetime_value, maximum_likelihood, segmentation  # noqa: E402
-from tallybook.sources import sinks  # noqa: E402
+from tallybook.sources import incremental, sinks  # noqa: E402
 from tallybook.sources import transactions as sources  # noqa: E402
 from tallybook.sources.staging import shared_folder, stage  # noqa: E402
 
 try:  # the operators for training data are an optional part
     import corpus_pipeline
     from tallybook.llm import queries as training_data
-except ModuleNotFoundError:
+except ModuleNotFoundError as missing:
+    # only the part itself may be missing, not a library that it needs
+    if missing.name not in ("corpus_pipeline", "tallybook.llm"):
+        raise
     corpus_pipeline = training_data = None
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -299,6 +302,134 @@ def _model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _revenue_model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a revenue forest that was saved and read back predicts the same for every coming day."""
+    path = shared_folder(spark)
+    found = forecast_plan.analyse(transactions(spark, sf_dir), oracle.HORIZON)
+    days = found.future.select("Date", F.col("Predicted_Revenue").alias("Fresh"))
+    if found.model is None:
+        return plain(days.select("Date", F.col("Fresh").isNull().alias("Same")))
+    sinks.save_model(found.model, path)
+    again = sinks.load_model(path).transform(found.future.drop("Predicted_Revenue"))
+    same = F.abs(F.col("prediction") - F.col("Fresh")) < 1e-9 * F.abs(F.col("Fresh"))
+    return plain(again.select("Date", "prediction").join(days, "Date").select("Date", same.alias("Same")))
+
+
+def _csv_latin1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log in ISO-8859-1, whose encoding is found from its bytes: the products with an accent in their names."""
+    path = shared_folder(spark)
+    accented = sources.star_schema_transactions(spark, sf_dir).withColumn(
+        "Description", F.concat("Description", F.lit(" é"), F.col("StockCode"))
+    )
+    accented.write.option("header", True).option("escape", '"').option("encoding", "ISO-8859-1").csv(path)
+    return recommend.product_lookup(clean(sources.read_transactions(spark, path)))
+
+
+def _with_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a CSV log without a header; the number of the invoice decides what is wrong with a line."""
+    raw = sources.star_schema_transactions(spark, sf_dir)
+    kind = F.pmod(F.regexp_replace("InvoiceNo", "C", "").cast("bigint"), F.lit(40))
+
+    def spoilt(column: str, when: int, text: str) -> Column:
+        return F.when(kind == when, text).otherwise(F.col(column).cast("string")).alias(column)
+
+    line = F.to_csv(
+        F.struct(
+            "InvoiceNo", "StockCode", "Description", spoilt("Quantity", 3, "six"), spoilt("InvoiceDate", 4, "soon"),
+            spoilt("UnitPrice", 5, "1.2.3"), spoilt("CustomerID", 6, "someone"), "Country",
+        )
+    )
+    return raw.select(
+        F.when(kind == 0, F.concat(line, F.lit(",more")))
+        .when(kind == 1, F.regexp_replace(line, ",[^,]*$", ""))
+        .when(kind == 2, F.concat(F.regexp_extract(line, "^[^,]*,[^,]*,", 0), F.lit('"open')))
+        .otherwise(line)
+        .alias("value")
+    )
+
+
+def _csv_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good and bad lines of a damaged log by reason, and what the good ones are worth."""
+    path = shared_folder(spark)
+    _with_faults(spark, sf_dir).write.text(path)
+    lines = sources.read_with_reasons(spark, path, columns=sources.TRANSACTION_COLUMNS)
+    good, bad = sources.quarantine(lines, shared_folder(spark))
+    revenue = clean(good).agg(F.sum("TotalPrice").cast("double")).scalar()
+    worth = good.agg(F.lit("good").alias("Reason"), F.count(F.lit(1)).alias("Lines"), F.round(revenue, 4).alias("Revenue"))
+    return worth.unionByName(
+        bad.groupBy("Reason").agg(F.count(F.lit(1)).alias("Lines"), F.lit(None).cast("double").alias("Revenue"))
+    )
+
+
+def _before_the_last_month(tx: DataFrame) -> DataFrame:
+    """The log as it was: without its last month, and without some lines of its first, which came late."""
+    edges = tx.agg(F.date_format(F.min("InvoiceDate"), "yyyy-MM").alias("f"), F.date_format(F.max("InvoiceDate"), "yyyy-MM").alias("l"))
+    month, first, last = F.date_format("InvoiceDate", "yyyy-MM"), edges.select("f").scalar(), edges.select("l").scalar()
+    return tx.filter((month < last) & ((month > first) | ~F.col("InvoiceNo").endswith("1")))
+
+
+def _refreshed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """States of the months in the second refresh of a log, and of the daily revenue derived from it, and that table."""
+    log, days = shared_folder(spark), shared_folder(spark)
+
+    def daily(rows: DataFrame) -> DataFrame:
+        by_day = rows.groupBy(incremental.MONTH, F.to_date("InvoiceDate").alias("Date"))
+        return by_day.agg(F.sum("TotalPrice").cast("double").alias("Revenue"))
+
+    tx = transactions(spark, sf_dir)
+    for version in (_before_the_last_month(tx), tx):
+        months = incremental.refresh(version, log)
+        derived = incremental.refresh_derived(spark, log, days, daily)
+    return months, derived, incremental.read(spark, days)
+
+
+def _incremental_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    months, derived, _ = _refreshed(spark, sf_dir)
+    return months.join(derived.select(incremental.MONTH, F.col("State").alias("Derived")), incremental.MONTH)
+
+
+def _incremental_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plain(_refreshed(spark, sf_dir)[2].select("Date", "Revenue"))
+
+
+def _distinct_sketches(tx: DataFrame) -> DataFrame:
+    """Exact distinct counts by month, and whether the counts of merged daily states are within the stated error."""
+    month = F.date_format("Date", "yyyy-MM").alias("Month")
+    by_country = sketches.merge_distinct(stage(sketches.distinct_states(tx)), month, "Country")
+    found = sketches.distinct_counts(sketches.merge_distinct(by_country, "Month")).withColumnsRenamed(
+        {name: f"About{name}" for name in sketches.DISTINCT}
+    )
+    exact = tx.groupBy(F.date_format("InvoiceDate", "yyyy-MM").alias("Month")).agg(
+        *[F.count_distinct(c).alias(name) for name, c in sketches.DISTINCT.items()]
+    )
+    near = [F.abs(F.col(f"About{n}") - F.col(n)) <= sketches.distinct_error() * F.col(n) + 1 for n in sketches.DISTINCT]
+    within = near[0] & near[1] & near[2]
+    return plain(found.join(exact, "Month").select("Month", "Records", "Revenue", *sketches.DISTINCT, within.alias("Within")))
+
+
+def _quantile_sketches(tx: DataFrame) -> DataFrame:
+    """Exact shares of invoice totals below the quartiles of merged sketches, as whether they are within the rank error."""
+    invoices = stage(
+        tx.filter("InvoiceNo IS NOT NULL")
+        .groupBy("InvoiceNo", "Country", F.date_format("InvoiceDate", "yyyy-MM").alias("Month"))
+        .agg(F.sum("TotalPrice").cast("double").alias("Total"))
+    )
+    states = stage(sketches.quantile_states(invoices, "Total", "Month", "Country"))
+    marks = {"Q1": 0.25, "Median": 0.5, "Q3": 0.75}
+    found = sketches.quantiles(sketches.merge_quantiles(states, "Country"), marks)
+    # a mark's ranks are those of its first and last equal value
+    joined = invoices.join(found, "Country").groupBy("Country").agg(
+        F.count(F.lit(1)).alias("Invoices"),
+        F.min("Values").alias("Values"),
+        *[F.avg((F.col("Total") < F.col(m)).cast("double")).alias(f"Below{m}") for m in marks],
+        *[F.avg((F.col("Total") <= F.col(m)).cast("double")).alias(f"UpTo{m}") for m in marks],
+    )
+    # three counts of one row: a sketch of few values is exact, but for the rounding of a rank
+    slack = F.lit(1.5 * sketches.rank_error()) + 1 / F.col("Invoices")
+    near = [(F.col(f"Below{m}") <= q + slack) & (F.col(f"UpTo{m}") >= q - slack) for m, q in marks.items()]
+    return joined.select("Country", "Invoices", (near[0] & near[1] & near[2] & (F.col("Values") == F.col("Invoices"))).alias("Within"))
+
+
 def _saved_and_read(spark: SparkSession, df: DataFrame, export: Callable[[DataFrame, str], bool]) -> DataFrame:
     """A table that was exported and read back; nothing was written for an empty one."""
     path = shared_folder(spark)
@@ -429,6 +560,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "gg_fit": _gg_fit,
         "likelihoods": _likelihoods,
         "customer_value_fallback": _customer_value_fallback,
+        # states that merge
+        "distinct_sketches": _distinct_sketches,
+        "quantile_sketches": _quantile_sketches,
     }
 
     def over_transactions(query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -438,6 +572,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered["csv_round_trip"] = _csv_round_trip
     registered["staged_round_trip"] = _staged_round_trip
     registered["model_round_trip"] = _model_round_trip
+    registered["revenue_model_round_trip"] = _revenue_model_round_trip
+    registered["csv_latin1"] = _csv_latin1
+    registered["csv_quarantine"] = _csv_quarantine
+    registered["incremental_months"] = _incremental_months
+    registered["incremental_daily"] = _incremental_daily
     registered["export_segments"] = _export_segments
     registered["export_at_risk"] = _export_at_risk
     registered["export_forecast"] = _export_forecast

@@ -15,11 +15,12 @@ WIDE_PRICE = "decimal(30,12)"
 WIDE_QUANTITY = "decimal(18,4)"
 
 
-def conform(raw: DataFrame, date_formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
+def conform(raw: DataFrame, date_formats: Sequence[str] = DATE_FORMATS, keep: Sequence[str] = ()) -> DataFrame:
     """Give every column its type; text that cannot be read becomes null (`unreadable` counts it).
 
     Columns that already have the right type pass through untouched, so that filters on them still
-    reach a Parquet scan. Dates are read in ISO form first and then in each of `date_formats`, in order.
+    reach a Parquet scan. Dates are read in ISO form first and then in each of `date_formats`, in order. Columns to
+    `keep` follow as they are.
     """
     found = dict(raw.dtypes)
 
@@ -53,6 +54,7 @@ def conform(raw: DataFrame, date_formats: Sequence[str] = DATE_FORMATS) -> DataF
         price.alias("UnitPrice"),
         customer.alias("CustomerID"),
         "Country",
+        *keep,
     )
 
 

@@ -207,6 +207,8 @@ def probability_alive_grid(inputs: DataFrame, model: BgNbd) -> DataFrame:
     return (
         inputs.agg(F.max("Repeats").alias("mx"), F.max("ModelT").alias("mt"))
         .select("mx", "mt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("mx"))).alias("frequency"))
+        # each repeat count is a row of the grid: they are dealt to the tasks before they are spread out
+        .repartition("frequency")
         .select("mt", "frequency", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("mt"))).alias("recency"))
         .select("frequency", "recency", probability_alive(x, t_x, F.col("mt"), model).alias("Prob_Alive"))
     )

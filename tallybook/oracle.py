@@ -601,6 +601,38 @@ def oracle_sql() -> dict[str, str]:
         ),
         "csv_round_trip": (RFM, f"SELECT CustomerID, Recency, Frequency, {_r('Monetary')} FROM rfm"),
         "staged_round_trip": (DAILY, f"SELECT {_DATE}, {_r('Revenue')} FROM daily"),
+        "revenue_model_round_trip": (FUTURE, f"SELECT {_DATE}, true AS Same FROM forecast"),
+        "csv_latin1": (TX, "SELECT DISTINCT StockCode, Description || ' é' || StockCode AS Description FROM tx"),
+        "csv_quarantine": (
+            RAW,
+            """SELECT Reason, count(*) AS Lines,
+               CASE WHEN Reason = 'good' THEN round(CAST(sum(CAST(Quantity * UnitPrice AS DECIMAL(38,8)))
+                 FILTER (NOT contains(InvoiceNo, 'C') AND Quantity > 0 AND UnitPrice > 0) AS DOUBLE), 4) END AS Revenue
+               FROM (SELECT *, CASE CAST(replace(InvoiceNo, 'C', '') AS BIGINT) % 40 WHEN 0 THEN 'fields' WHEN 1 THEN 'fields'
+                       WHEN 2 THEN 'quotes' WHEN 3 THEN 'Quantity' WHEN 4 THEN 'InvoiceDate' WHEN 5 THEN 'UnitPrice'
+                       WHEN 6 THEN 'CustomerID' ELSE 'good' END AS Reason FROM raw)
+               GROUP BY Reason""",
+        ),
+        "incremental_months": (
+            TX,
+            """SELECT *, State AS Derived FROM (
+                 SELECT InvoiceMonth, count(*) AS Lines,
+                   CASE WHEN InvoiceMonth = max(max(InvoiceMonth)) OVER () THEN 'new'
+                        WHEN InvoiceMonth = min(min(InvoiceMonth)) OVER () AND bool_or(ends_with(InvoiceNo, '1')) THEN 'changed'
+                        ELSE 'same' END AS State
+                 FROM (SELECT InvoiceNo, strftime(InvoiceDate, '%Y-%m') AS InvoiceMonth FROM tx) GROUP BY InvoiceMonth)""",
+        ),
+        "incremental_daily": (DAILY, f"SELECT {_DATE}, {_r('Revenue')} FROM daily"),
+        "distinct_sketches": (
+            TX,
+            """SELECT strftime(InvoiceDate, '%Y-%m') AS Month, count(*) AS Records,
+               round(CAST(sum(TotalPrice) AS DOUBLE), 4) AS Revenue, count(DISTINCT CustomerID) AS Customers,
+               count(DISTINCT StockCode) AS Products, count(DISTINCT InvoiceNo) AS Invoices, true AS Within
+               FROM tx GROUP BY Month""",
+        ),
+        "quantile_sketches": (
+            TX, "SELECT Country, count(DISTINCT InvoiceNo) AS Invoices, true AS Within FROM tx GROUP BY Country"
+        ),
         "export_forecast": (FUTURE, f"SELECT {_DATE}, {_r('Predicted_Revenue')} FROM forecast"),
     }
     # what is written and read back, or reached by another way, equals the plain query

@@ -61,6 +61,66 @@ def read_transactions(
     return conform(raw.select(*TRANSACTION_COLUMNS), date_formats)
 
 
+REASONS = {
+    "quotes": "a quote that is opened and not closed",
+    "fields": "too many or too few fields",
+    "CustomerID": "text that is no number of a customer",
+    "InvoiceDate": "text that is no date in a known form",
+    "Quantity": "text that is no quantity",
+    "UnitPrice": "text that is no price",
+}
+
+
+def read_with_reasons(
+    spark: SparkSession,
+    path: str,
+    encoding: str | None = None,
+    date_formats: Sequence[str] = DATE_FORMATS,
+    columns: Sequence[str] | None = None,
+) -> DataFrame:
+    """All lines of a transaction CSV, typed as in `read_transactions`, with Reason and Line.
+
+    Reason names what is wrong with a line (see REASONS; the first that holds, in that order) and is null for a good
+    one; Line is the text of a line that is not good, so that nothing of it is lost: as it stands in the file where its
+    fields are at fault, its given values otherwise. A value that is missing is no fault. Files without a header
+    row need the names of their `columns`.
+    """
+    options = {"encoding": encoding or choose_encoding(spark, path), "escape": '"', "multiLine": False}
+    reader = spark.read.options(**options).option("header", columns is None)
+    # only the first line is read for the names; all files must have the same
+    names = list(columns or reader.csv(path).columns)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_line"]])
+    raw = (
+        reader.schema(schema)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", "_line")
+        # with fewer columns in use, the parser would not look at the others
+        .option("columnPruning", False)
+        .option("enforceSchema", columns is not None)
+        .csv(path)
+    )
+    given = F.struct(*[F.col(f"`{c}`").alias(f"given_{c}") for c in TRANSACTION_COLUMNS])
+    kept = raw.select(*TRANSACTION_COLUMNS, "_line", given.alias("_given"))
+    typed = conform(kept, date_formats, keep=("_line", "_given"))
+    open_quote = F.length(F.regexp_replace("_line", '[^"]', "")) % 2 == 1
+    reason = F.when(F.col("_line").isNotNull(), F.when(open_quote, "quotes").otherwise("fields"))
+    for name in list(REASONS)[2:]:
+        present = F.trim(F.col(f"_given.given_{name}")) != ""
+        reason = reason.when(present & F.col(name).isNull(), name)
+    line = F.coalesce("_line", F.to_csv("_given", {"escape": '"'}))
+    return typed.withColumn("Reason", reason).select(
+        *TRANSACTION_COLUMNS, "Reason", F.when(F.col("Reason").isNotNull(), line).alias("Line")
+    )
+
+
+def quarantine(lines: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Good lines (the transaction columns) and bad ones (Reason, Line), both written by one scan of the log."""
+    lines.withColumn("Bad", F.col("Reason").isNotNull()).write.mode("overwrite").partitionBy("Bad").parquet(path)
+    schema = T.StructType([*lines.schema.fields, T.StructField("Bad", T.BooleanType())])
+    written = lines.sparkSession.read.schema(schema).parquet(path)
+    return written.filter("NOT Bad").select(*TRANSACTION_COLUMNS), written.filter("Bad").select("Reason", "Line")
+
+
 def example_transactions(spark: SparkSession) -> DataFrame:
     """Five example rows that show the expected columns."""
     # The example data.
