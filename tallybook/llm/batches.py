@@ -74,6 +74,25 @@ def add_columns(
     return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, StructType([df.schema[c] for c in keep] + list(added)))
 
 
+_held: list = [None, None]
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """What `make` gives, kept by the worker for all tasks of one operator.
+
+    Workers outlive a job, so only one operator's tables are held: another key frees them.
+    """
+    if _held[0] != key:
+        _held[:] = None, None
+        _held[:] = key, make()
+    return _held[1]
+
+
+def quoted(names: Iterable[str]) -> list[str]:
+    """Names of columns as they can be looked up, whatever characters they have."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
 class Memo(dict):
     """Values by key, computed for all missing keys at once; emptied when it would grow past `limit` entries.
 

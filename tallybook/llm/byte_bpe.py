@@ -12,14 +12,13 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
-from tallybook.llm.batches import Memo, add_columns, id_and_text
+from tallybook.llm.batches import Memo, add_columns, held, id_and_text
 
 RANKS = "byte_bpe_50k.tiktoken"
 # above all ranks
@@ -100,10 +99,9 @@ class Coder:
         return [sizes, ids, decoded]
 
 
-@lru_cache(maxsize=1)
 def _coder(path: str, pattern: str) -> Coder:
     """One for each Python worker, for all of its tasks."""
-    return Coder(path, pattern)
+    return held(("byte_bpe", path, pattern), lambda: Coder(path, pattern))
 
 
 def encode_digests(docs: DataFrame, ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:

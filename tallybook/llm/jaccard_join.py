@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallybook.llm.batches import add_columns, id_and_text, whole_text
+from tallybook.llm.batches import add_columns, id_and_text, quoted, whole_text
 from tallybook.llm.components import components
 from tallybook.llm.shingles import Hasher, exact_ids
 from tallybook.sources.staging import stage
@@ -259,7 +259,7 @@ def keep_one_per_class(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFr
     chosen = texts.groupBy("root").agg(F.min(order).alias("one")).select(F.col("one.key").alias("key"), F.lit(True).alias("stays"))
     fate = texts.join(chosen, "key", "left").select("key", F.col("first").alias("of"), F.coalesce("stays", F.lit(False)).alias("stays"))
     rows = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+        F.struct(*[docs[c] for c in quoted(docs.columns)]).alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
         text_key(docs).alias("key"),
     )

@@ -10,13 +10,12 @@ from __future__ import annotations
 
 import math
 import re
-from functools import lru_cache
 from itertools import chain
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallybook.llm.batches import Memo, add_columns, id_digest, id_and_text, whole_text
+from tallybook.llm.batches import Memo, add_columns, held, id_and_text, id_digest, whole_text
 
 UNDETERMINED = "und"
 FOLDS, HELD_OUT = 4, 2
@@ -25,10 +24,18 @@ SAMPLE_DOCS = 400
 SAMPLE_TEXT_CHARS = 20_000
 AUTOMATON_CHARS = 30_000
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]+")
 _FIELD = 44
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters, lower-cased. What is no letter, such as a fraction or a number in a circle, parts them."""
+    found = _WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return "".join(c if c.isalpha() else " " for w in found for c in (*w, " ")).split()
+
+
 class SuffixAutomaton:
     """All substrings of the words it is given, each with a space on both sides.
 
@@ -99,7 +106,7 @@ def learn(docs: DataFrame) -> dict[str, tuple[str, ...]]:
     learned = {}
     for lang, sample in texts.items():
         words, size = {}, 0
-        for word in (w for t in sample for w in _LETTERS.findall(t.lower())):
+        for word in (w for t in sample for w in words_of(t)):
             if word not in words and size + len(word) < AUTOMATON_CHARS:
                 words[word] = None
                 size += len(word) + 1
@@ -120,7 +127,7 @@ class Parser:
     def _count(self, chunk: str) -> int:
         """Letters and phrases of a run of non-blanks, in fields of one number that add up without carries."""
         packed = 0
-        for word in _LETTERS.findall(chunk.lower()):
+        for word in words_of(chunk):
             packed += len(word)
             for k, automaton in enumerate(self.automata, 1):
                 packed += automaton.phrases(f" {word} ") << (_FIELD * k)
@@ -144,16 +151,19 @@ class Parser:
         return cost[0][1], 1.0 - cost[0][0] / cost[1][0] if len(cost) > 1 else 1.0
 
 
-@lru_cache(maxsize=1)
 def _parser(learned: tuple[tuple[str, tuple[str, ...]], ...]) -> Parser:
     """One for each Python worker, for all of its tasks."""
-    return Parser(dict(learned))
+    return held(("language_id", hash(learned)), lambda: Parser(dict(learned)))
 
 
-def _predicted(rows: DataFrame, keep: list[str], docs: DataFrame) -> DataFrame:
+def _predicted(rows: DataFrame, keep: list[str], docs: DataFrame, text: str = "text") -> DataFrame:
     learned = docs.sparkSession.sparkContext.broadcast(learn(docs))
 
-    return add_columns(rows, lambda: _parser(tuple(sorted(learned.value.items()))), "lang_pred string, score double", keep)
+    def make():
+        parse = _parser(tuple(sorted(learned.value.items())))
+        return lambda texts: parse([t or "" for t in texts])
+
+    return add_columns(rows, make, "lang_pred string, score double", keep, text)
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -170,6 +180,13 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows whose language could be told, with all their columns."""
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), whole_text(docs).alias("text"))
-    return _predicted(rows, ["_row"], docs).filter(F.col("lang_pred") != UNDETERMINED).select("_row.*")
+    """The rows whose language could be told, with all their columns, whatever these are called.
+
+    A null text has no language, so that its row goes; repeated rows share their fate.
+    """
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    text = names[docs.columns.index("text")]
+    rows = rows.withColumn(text, rows[text].cast("string"))
+    told = _predicted(rows, names, docs, text).filter(F.col("lang_pred") != UNDETERMINED)
+    return told.select(*names).toDF(*docs.columns)

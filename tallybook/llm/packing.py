@@ -16,7 +16,6 @@ from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 from tokenizers import Tokenizer
 
-from tallybook.llm.batches import Memo, id_and_text, slices
+from tallybook.llm.batches import Memo, held, id_and_text, slices
 from tallybook.sources.staging import stage
 
 TOKENIZER = "word_bpe_49k.json"
@@ -79,10 +78,9 @@ class Ids:
             yield self._encode([text])[0] if words is None else b"".join(map(self.known.__getitem__, words))
 
 
-@lru_cache(maxsize=1)
 def _ids(path: str) -> Ids:
     """One for each Python worker, for all of its tasks."""
-    return Ids(path)
+    return held(("packing", path), lambda: Ids(path))
 
 
 def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, size: int = SIZE) -> DataFrame:

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.batches import whole_text
+from tallybook.llm.batches import quoted, whole_text
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\f\r"
@@ -177,7 +177,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows that pass, with all their columns."""
     # a row number keeps the optimizer from moving the filter below the counts, where it would repeat their expressions
-    measured = measure(docs, *[docs[c] for c in docs.columns]).withColumn("_number", F.monotonically_increasing_id())
+    measured = measure(docs, *[docs[c] for c in quoted(docs.columns)]).withColumn("_number", F.monotonically_increasing_id())
     passes = ~base_failed() & (compile_rules(rules) == "") & (F.col("_number") >= 0)
     return measured.filter(passes).select("_row.*")
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from tallybook.llm.batches import Memo, id_and_text, slices
+from tallybook.llm.batches import Memo, id_and_text, quoted, slices
 from tallybook.llm.conversation_repair import crc32_sql
 from tallybook.sources.staging import stage
 
@@ -224,14 +224,14 @@ def respelled(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFram
     roots = found.filter(F.col("root") != F.col("word")).select(F.col("word").alias("_word"), F.col("root").alias("_root"))
     keyed = docs.withColumn("_row", F.monotonically_increasing_id())
     rows = stage(keyed)
-    marked = F.split(F.regexp_replace(F.coalesce(F.col(f"`{text}`"), F.lit("")), f"({letters})", "\u0001$1\u0001"), "\u0001")
+    marked = F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"({letters})", "\u0001$1\u0001"), "\u0001")
     pieces = rows.select("_row", F.posexplode(marked).alias("_at", "_piece"))
     joined = pieces.withColumn("_word", F.translate("_piece", upper, lower)).join(roots, "_word", "left")
     rebuilt = joined.groupBy("_row").agg(
         F.sort_array(F.collect_list(F.struct("_at", F.coalesce("_root", "_piece").alias("_piece")))).alias("_all")
     )
-    new = F.when(F.col(f"`{text}`").isNotNull(), F.array_join("_all._piece", "")).alias(text)
-    return rows.join(rebuilt, "_row").select(*[new if c == text else F.col(f"`{c}`") for c in docs.columns])
+    new = F.when(F.col(text).isNotNull(), F.array_join("_all._piece", "")).alias(text)
+    return rows.join(rebuilt, "_row").select(*[new if c == text else F.col(q) for c, q in zip(docs.columns, quoted(docs.columns), strict=True)])
 
 
 def variants_sql() -> str:

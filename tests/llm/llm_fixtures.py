@@ -6,7 +6,7 @@ SMALL = "/root/testdata/sf0.001"
 MEDIUM = "/root/testdata/sf0.01"
 
 # names that operators use for columns of their own
-CLASHING = "n_tokens kept score key row spans words path text_id statistics target _row _n _words first copied single".split()
+CLASHING = "n_tokens kept score key row spans words path text_id statistics target _row _n _words first copied single a.b c`d".split()
 
 
 def prose(seed: int, n: int) -> str:

@@ -122,3 +122,26 @@ def test_placement_is_even_and_stable(spark, edge, nothing):
     assert Counter(r["doc_id"] for r in rows) == Counter(i for i, *_ in edge_rows())
     assert all(r["shard"] == shards[table[r["slot"]]] for r in rows)
     assert sharding.shard(nothing).count() == 0
+
+
+def test_texts_without_a_letter_have_no_language(spark):
+    from tallybook.llm import language_id
+
+    texts = ["½ ²", "①", "12 ³ _ ٣", "½a", "Ⅷ", "the ½cup and①or"]
+    known = [(100 + i, "the cat and the dog sat on a mat", "en") for i in range(20)]
+    known += [(200 + i, "der hund und die katze sind im haus", "de") for i in range(20)]
+    rows = [(i, t, None) for i, t in enumerate(texts)] + known
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs).collect()}
+    assert [got[i] == "und" for i in range(6)] == [not any(map(str.isalpha, t)) for t in texts]
+    assert got[5] == "en"
+    assert language_id.words_of("½Cup①Or x2") == ["cup", "or", "x"]
+
+
+def test_a_worker_holds_the_tables_of_one_operator():
+    from tallybook.llm import batches
+
+    made = []
+    for key in ("a", "a", "b", "a"):
+        batches.held((key,), lambda k=key: made.append(k) or k)
+    assert made == ["a", "b", "a"]
