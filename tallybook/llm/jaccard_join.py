@@ -29,7 +29,7 @@ TARGET_RECALL = 0.999_99
 HASHES = 64
 SMALL = 200
 PICKS = 2
-BLOCK_TEXTS, BLOCK_BYTES = 500, 2_000_000
+BLOCK_TEXTS, BLOCK_BYTES = 1_000, 4_000_000
 
 
 def runs_for(recall: float, similarity: float, picks: int = PICKS) -> int:
