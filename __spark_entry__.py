@@ -270,6 +270,21 @@ def _likelihoods(tx: DataFrame) -> DataFrame:
     return plain(tx.sparkSession.createDataFrame([tuple(-v for v in values)], "BgNbd double, GammaGamma double"))
 
 
+def _fit_slopes(tx: DataFrame) -> DataFrame:
+    """First and second derivatives of both mean log-likelihoods at fixed parameters, by the logarithms of these."""
+    inputs = stage(clv.model_inputs(clv.customer_base(tx)))
+    rows = []
+    for name, model, slopes in (
+        ("BG/NBD", BGNBD, maximum_likelihood.bgnbd_slopes),
+        ("Gamma-Gamma", GAMMA_GAMMA, maximum_likelihood.gamma_gamma_slopes),
+    ):
+        _, gradient, curvature = slopes(inputs, model, penalty=0.0)
+        fields = model._fields
+        rows += [(name, n, "", -float(gradient[i])) for i, n in enumerate(fields)]
+        rows += [(name, n, fields[j], -float(curvature[i, j])) for i, n in enumerate(fields) for j in range(i, len(fields))]
+    return plain(tx.sparkSession.createDataFrame(rows, "Model string, Parameter string, Other string, Slope double"))
+
+
 def _customer_value_fallback(tx: DataFrame) -> DataFrame:
     """The whole lifetime analysis with a gate that no log passes: plain spend of every customer."""
     return plain(lifetime_value.analyse(tx, more_than=1 << 40).customer_value)
@@ -559,6 +574,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bgnbd_fit": _bgnbd_fit,
         "gg_fit": _gg_fit,
         "likelihoods": _likelihoods,
+        "fit_slopes": _fit_slopes,
         "customer_value_fallback": _customer_value_fallback,
         # states that merge
         "distinct_sketches": _distinct_sketches,

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.constants import CLV_LABELS
-from tallybook.functions.expressions import ln_gamma, money, ratio, whole_days
+from tallybook.functions.expressions import digamma, ln_gamma, money, ratio, trigamma, whole_days
 from tallybook.functions.quantiles import exact_quantiles
 from tallybook.sources.staging import stage
 
@@ -115,6 +115,74 @@ def gamma_gamma_log_likelihood(x: Column, m: Column, p: dict[str, Column]) -> Co
     )
 
 
+Derivatives = tuple[dict[str, Column], dict[tuple[str, str], Column]]
+
+
+def bgnbd_derivatives(x: Column, t_x: Column, t: Column, p: dict[str, Column]) -> Derivatives:
+    """First and second derivatives of `bgnbd_log_likelihood` by the parameters; pairs that are missing are 0."""
+    r, alpha, a, b = p["r"], p["alpha"], p["a"], p["b"]
+    alive = -(r + x) * F.ln(alpha + t)
+    gone = F.ln(a) - F.ln(F.greatest(b + x - 1, F.lit(1e-300))) - (r + x) * F.ln(alpha + t_x)
+    # the share of the customer's likelihood that falls to having gone, and to being alive
+    g = F.when(x > 0, 1 / (1 + F.exp(alive - gone))).otherwise(0.0)
+    s = 1 - g
+    left = F.when(x > 0, F.greatest(b + x - 1, F.lit(1e-150))).otherwise(1.0)
+    of_alive = {"r": -F.ln(alpha + t), "alpha": -(r + x) / (alpha + t)}
+    of_gone = {"r": -F.ln(alpha + t_x), "alpha": -(r + x) / (alpha + t_x), "a": 1 / a, "b": -1 / left}
+    second_alive = {("r", "alpha"): -1 / (alpha + t), ("alpha", "alpha"): (r + x) / ((alpha + t) * (alpha + t))}
+    second_gone = {
+        ("r", "alpha"): -1 / (alpha + t_x),
+        ("alpha", "alpha"): (r + x) / ((alpha + t_x) * (alpha + t_x)),
+        ("a", "a"): -1 / (a * a),
+        ("b", "b"): 1 / (left * left),
+    }
+    all_of = digamma(a + b) - digamma(a + b + x)
+    curve = trigamma(a + b) - trigamma(a + b + x)
+    first = {
+        "r": digamma(r + x) - digamma(r) + F.ln(alpha),
+        "alpha": r / alpha,
+        "a": all_of,
+        "b": all_of + digamma(b + x) - digamma(b),
+    }
+    second = {
+        ("r", "r"): trigamma(r + x) - trigamma(r),
+        ("r", "alpha"): 1 / alpha,
+        ("alpha", "alpha"): -r / (alpha * alpha),
+        ("a", "a"): curve,
+        ("a", "b"): curve,
+        ("b", "b"): curve + trigamma(b + x) - trigamma(b),
+    }
+    zero = F.lit(0.0)
+    names = list(first)
+    apart = {n: of_gone[n] - of_alive.get(n, zero) for n in names}
+    for i, n in enumerate(names):
+        first[n] = first[n] + s * of_alive.get(n, zero) + g * of_gone[n]
+        for o in names[i:]:
+            mixed = s * second_alive.get((n, o), zero) + g * second_gone.get((n, o), zero) + s * g * apart[n] * apart[o]
+            second[n, o] = second.get((n, o), zero) + mixed
+    return first, second
+
+
+def gamma_gamma_derivatives(x: Column, m: Column, p: dict[str, Column]) -> Derivatives:
+    """First and second derivatives of `gamma_gamma_log_likelihood` by the parameters."""
+    shape, q, v = p["p"], p["q"], p["v"]
+    px, total = shape * x, v + m * x
+    first = {
+        "p": x * (digamma(px + q) - digamma(px) + F.ln(m) + F.ln(x) - F.ln(total)),
+        "q": digamma(px + q) - digamma(q) + F.ln(v) - F.ln(total),
+        "v": q / v - (px + q) / total,
+    }
+    second = {
+        ("p", "p"): x * x * (trigamma(px + q) - trigamma(px)),
+        ("p", "q"): x * trigamma(px + q),
+        ("p", "v"): -x / total,
+        ("q", "q"): trigamma(px + q) - trigamma(q),
+        ("q", "v"): 1 / v - 1 / total,
+        ("v", "v"): -q / (v * v) + (px + q) / (total * total),
+    }
+    return first, second
+
+
 def probability_alive(x: Column, t_x: Column, t: Column, model: BgNbd) -> Column:
     r, alpha, a, b = model
     odds = F.lit(a) / (x + (b - 1)) * F.pow((t + alpha) / (t_x + alpha), x + r)

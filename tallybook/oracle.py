@@ -279,14 +279,43 @@ _CLV_COLUMNS = _r("MonetaryValue", "Predicted_Purchases", "Prob_Alive", "CLV")
 
 
 # Log-likelihoods of one customer; times and alpha are scaled as the fit scales them.
-_BGNBD_LIKELIHOOD = (
-    f"lgamma({_R} + x) - lgamma({_R}) + {_R} * ln(al) + lgamma({_A + _B}) + lgamma({_B} + x) - lgamma({_B}) "
-    f"- lgamma({_A + _B} + x) + ln(pow(al + t, -({_R} + x)) + {_A} / ({_B} + x - 1) * pow(al + tx, -({_R} + x)))"
-)
-_GG_LIKELIHOOD = (
-    f"lgamma({_P} * x + {_Q}) - lgamma({_P} * x) - lgamma({_Q}) + {_Q} * ln({_V}) + ({_P} * x - 1) * ln(m) "
-    f"+ {_P} * x * ln(x) - ({_P} * x + {_Q}) * ln({_V} + m * x)"
-)
+def _bgnbd_likelihood(r: str, al: str, a: str, b: str) -> str:
+    return (
+        f"lgamma({r} + x) - lgamma({r}) + {r} * ln({al}) + lgamma({a} + {b}) + lgamma({b} + x) - lgamma({b}) "
+        f"- lgamma({a} + {b} + x) + ln(pow({al} + t, -({r} + x)) + {a} / ({b} + x - 1) * pow({al} + tx, -({r} + x)))"
+    )
+
+
+def _gg_likelihood(p: str, q: str, v: str) -> str:
+    return (
+        f"lgamma({p} * x + {q}) - lgamma({p} * x) - lgamma({q}) + {q} * ln({v}) + ({p} * x - 1) * ln(m) "
+        f"+ {p} * x * ln(x) - ({p} * x + {q}) * ln({v} + m * x)"
+    )
+
+
+_BGNBD_LIKELIHOOD = _bgnbd_likelihood(_R, "al", _A, _B)
+_GG_LIKELIHOOD = _gg_likelihood(_P, _Q, _V)
+_SCALED = f"""(SELECT CAST(Repeats AS DOUBLE) AS x, CAST(ModelRecency AS DOUBLE) / s AS tx,
+                             CAST(ModelT AS DOUBLE) / s AS t, {_ALPHA}::DOUBLE / s AS al, OrderValue AS m
+                      FROM inputs, (SELECT max(ModelT) / 10.0::DOUBLE AS s FROM inputs))"""
+
+
+def _slopes(model: str, parameters: dict[str, str], likelihood) -> str:
+    """Differences of the mean log-likelihood by the logarithms of the parameters, one after and two after another."""
+    h = "1e-3::DOUBLE"
+    moved = [
+        f"({value} * exp({h} * ((i = {k})::INTEGER * si + (j = {k})::INTEGER * sj)))"
+        for k, value in enumerate(parameters.values())
+    ]
+    names = "[" + ", ".join(f"'{n}'" for n in parameters) + "]"
+    return f"""SELECT '{model}' AS Model, {names}[CAST(i AS INTEGER) + 1] AS Parameter,
+               CASE WHEN j < 0 THEN '' ELSE {names}[CAST(j AS INTEGER) + 1] END AS Other,
+               round(sum(CASE WHEN j < 0 THEN si / (2 * {h}) ELSE si * sj / (4 * {h} * {h}) END * v), 4) AS Slope
+               FROM (SELECT i, j, si, sj, avg({likelihood(*moved)}) AS v
+                     FROM {_SCALED}, range(0, {len(moved)}) a(i), range(-1, {len(moved)}) b(j),
+                          (VALUES (1), (-1)) c(si), (VALUES (1), (-1)) d(sj)
+                     WHERE j >= i OR (j < 0 AND sj = 1) GROUP BY i, j, si, sj)
+               GROUP BY i, j"""
 
 
 def _names(features: list[str]) -> str:
@@ -538,9 +567,13 @@ def oracle_sql() -> dict[str, str]:
         "likelihoods": (
             BASE,
             f"""SELECT round(avg({_BGNBD_LIKELIHOOD}), 4) AS BgNbd, round(avg({_GG_LIKELIHOOD}), 4) AS GammaGamma
-                FROM (SELECT CAST(Repeats AS DOUBLE) AS x, CAST(ModelRecency AS DOUBLE) / s AS tx,
-                             CAST(ModelT AS DOUBLE) / s AS t, {_ALPHA}::DOUBLE / s AS al, OrderValue AS m
-                      FROM inputs, (SELECT max(ModelT) / 10.0::DOUBLE AS s FROM inputs))""",
+                FROM {_SCALED}""",
+        ),
+        "fit_slopes": (
+            BASE,
+            _slopes("BG/NBD", {"r": _R, "alpha": "al", "a": _A, "b": _B}, _bgnbd_likelihood)
+            + " UNION ALL "
+            + _slopes("Gamma-Gamma", {"p": _P, "q": _Q, "v": _V}, _gg_likelihood),
         ),
         "clv_base": (
             BASE,

@@ -1,9 +1,9 @@
 """Penalised maximum likelihood of the BG/NBD and Gamma-Gamma models.
 
 Spark does the work that grows with the data: customers with equal inputs are merged once, the
-merged table is kept, and each step sums the log-likelihood of a handful of candidate parameters in
-one aggregate. Only those sums (at most 23 numbers) come to the driver, which takes a damped Newton
-step in the logarithms of the parameters.
+merged table is kept, and each step sums the log-likelihood with its first and second derivatives in
+one aggregate. Only those sums (at most 15 numbers) come to the driver, which takes a damped Newton
+step in the logarithms of the parameters. A step that leads uphill is shortened by one more aggregate.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from tallybook.operators.clv import (
     BgNbd,
     GammaGamma,
+    bgnbd_derivatives,
     bgnbd_log_likelihood,
+    gamma_gamma_derivatives,
     gamma_gamma_log_likelihood,
 )
 
@@ -29,6 +31,10 @@ PENALTY = 0.01
 SCALED_T = 10.0
 
 
+# largest slope of the mean log-likelihood, by the logarithm of a parameter, at which a fit ends
+AT_REST = 1e-9
+
+
 def _objective(weighted: DataFrame, expand: Callable[[np.ndarray], dict[str, float]], likelihood, penalty: float):
     """Function from a list of log-parameter vectors to their objective values, by one Spark job."""
     names = list(expand(np.ones(4)))
@@ -50,12 +56,82 @@ def _objective(weighted: DataFrame, expand: Callable[[np.ndarray], dict[str, flo
     return evaluate
 
 
+def _slopes(weighted: DataFrame, expand: Callable[[np.ndarray], dict[str, float]], likelihood, derivatives, penalty: float):
+    """Function from log parameters to the objective, its gradient and its curvature, by one Spark job."""
+    names = list(expand(np.ones(4)))
+    p = {n: F.col(n) for n in names}
+    first, second = derivatives(p)
+    place = {n: i for i, n in enumerate(first)}
+
+    def mean(value, name: str):
+        return (F.sum(value * F.col("w")) / F.sum("w")).alias(name)
+
+    sums = [mean(likelihood(p), "value"), *(mean(c, f"d_{n}") for n, c in first.items())]
+    sums += [mean(c, f"d_{n}_{o}") for (n, o), c in second.items()]
+
+    def evaluate(point: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        theta, d = np.exp(point), len(place)
+        values = [f"CAST({value!r} AS DOUBLE) AS {name}" for name, value in expand(theta).items()]
+        row = weighted.selectExpr("*", f"inline(array(struct({', '.join(values)})))").agg(*sums).first()
+        gradient, curvature = np.zeros(d), np.zeros((d, d))
+        if any(v is None or not math.isfinite(v) for v in row):
+            return math.inf, gradient, curvature
+        for n, i in place.items():
+            gradient[i] = row[f"d_{n}"]
+        for n, o in second:
+            i, j = place[n], place[o]
+            curvature[i, j] = curvature[j, i] = row[f"d_{n}_{o}"]
+        # by the logarithms of the parameters
+        curvature = curvature * np.outer(theta, theta) + np.diag(theta * gradient)
+        return (
+            -row["value"] + penalty * float(np.sum(theta**2)),
+            -theta * gradient + 2 * penalty * theta**2,
+            -curvature + np.diag(4 * penalty * theta**2),
+        )
+
+    return evaluate
+
+
+def _downhill(gradient: np.ndarray, curvature: np.ndarray, flattest: float) -> np.ndarray:
+    """Newton's step; directions of negative curvature are turned downhill, and no logarithm moves by more than 2."""
+    values, vectors = np.linalg.eigh(curvature)
+    step = -vectors @ ((vectors.T @ gradient) / np.maximum(np.abs(values), flattest))
+    longest = np.max(np.abs(step))
+    return step * (2 / longest) if longest > 2 else step
+
+
+def newton(problem: _Problem, start: np.ndarray, rounds: int = 100, at_rest: float = AT_REST) -> np.ndarray:
+    """Newton's method on exact derivatives, one job a step unless the step leads uphill.
+
+    It ends where no slope exceeds `at_rest` or where double precision shows no way down, and raises when that takes
+    more than `rounds`.
+    """
+    here = start
+    value, gradient, curvature = problem.slopes(here)
+    for _ in range(rounds):
+        if np.max(np.abs(gradient)) <= at_rest:
+            return here
+        step = _downhill(gradient, curvature, 1e-12)
+        after = problem.slopes(here + step)
+        if not after[0] < value:
+            tries = [step * s for s in (0.5, 0.25, 0.1, 0.03, 0.01)]
+            tried = problem.evaluate([here + s for s in tries])
+            best = int(np.argmin(tried))
+            if not tried[best] < value:
+                return here
+            step = tries[best]
+            after = problem.slopes(here + step)
+        here = here + step
+        value, gradient, curvature = after
+    raise ArithmeticError(f"the likelihood is still rising after {rounds} rounds")
+
+
 def minimise(
     evaluate: Callable[[list[np.ndarray]], np.ndarray], start: np.ndarray, rounds: int = 100, tolerance: float = 1e-7
 ) -> np.ndarray:
-    """Newton's method with finite differences; directions of negative curvature are turned downhill.
+    """Newton's method with finite differences, for objectives without derivatives.
 
-    It ends where no step lowers the objective by `tolerance`, and raises when that takes more than `rounds`.
+    Directions of negative curvature are turned downhill. It ends where no step lowers the objective by `tolerance`, and raises when that takes more than `rounds`.
     """
     d, h = len(start), 1e-3
     unit = np.eye(d) * h
@@ -70,11 +146,7 @@ def minimise(
         curvature = np.diag((ahead - 2 * f[0] + behind) / h**2)
         for (i, j), both in zip(mixed, f[2 * d + 1 :]):
             curvature[i, j] = curvature[j, i] = (both - ahead[i] - ahead[j] + f[0]) / h**2
-        values, vectors = np.linalg.eigh(curvature)
-        step = -vectors @ ((vectors.T @ gradient) / np.maximum(np.abs(values), 1e-6))
-        longest = np.max(np.abs(step))
-        if longest > 2:
-            step *= 2 / longest
+        step = _downhill(gradient, curvature, 1e-6)
         tries = [here + step * s for s in (2.0, 1.0, 0.5, 0.25, 0.1, 0.03, 0.01)]
         tried = evaluate(tries)
         best = int(np.argmin(tried))
@@ -88,11 +160,23 @@ def minimise(
 
 
 class _Problem:
-    """Merged customers, kept while the block lasts, and the objective over vectors of log parameters."""
+    """Merged customers, kept while the block lasts, and the objective over vectors of log parameters.
+
+    `jobs` counts the aggregates taken over the customers.
+    """
 
-    def __init__(self, weighted: DataFrame, expand, likelihood, penalty: float):
+    def __init__(self, weighted: DataFrame, expand, likelihood, derivatives, penalty: float):
         self.weighted = weighted.persist(StorageLevel.MEMORY_AND_DISK)
-        self.evaluate = _objective(self.weighted, expand, likelihood, penalty)
+        self.jobs = 0
+        self.evaluate = self._counted(_objective(self.weighted, expand, likelihood, penalty))
+        self.slopes = self._counted(_slopes(self.weighted, expand, likelihood, derivatives, penalty))
+
+    def _counted(self, evaluate: Callable) -> Callable:
+        def run(where):
+            self.jobs += 1
+            return evaluate(where)
+
+        return run
 
     def __enter__(self) -> _Problem:
         return self
@@ -124,7 +208,10 @@ def _bgnbd(inputs: DataFrame, penalty: float) -> tuple[_Problem, float]:
     def likelihood(p):
         return bgnbd_log_likelihood(F.col("x"), F.col("t_x"), F.col("t"), p)
 
-    return _Problem(weighted, expand, likelihood, penalty), scale
+    def derivatives(p):
+        return bgnbd_derivatives(F.col("x"), F.col("t_x"), F.col("t"), p)
+
+    return _Problem(weighted, expand, likelihood, derivatives, penalty), scale
 
 
 def _gamma_gamma(inputs: DataFrame, penalty: float) -> _Problem:
@@ -141,21 +228,24 @@ def _gamma_gamma(inputs: DataFrame, penalty: float) -> _Problem:
     def likelihood(p):
         return gamma_gamma_log_likelihood(F.col("x"), F.col("m"), p)
 
-    return _Problem(weighted, expand, likelihood, penalty)
+    def derivatives(p):
+        return gamma_gamma_derivatives(F.col("x"), F.col("m"), p)
+
+    return _Problem(weighted, expand, likelihood, derivatives, penalty)
 
 
 def fit_bgnbd(inputs: DataFrame, penalty: float = PENALTY) -> BgNbd:
     """Parameters from the columns Repeats, ModelRecency and ModelT."""
     problem, scale = _bgnbd(inputs, penalty)
     with problem:
-        r, alpha, a, b = (float(v) for v in np.exp(minimise(problem.evaluate, np.zeros(4))))
+        r, alpha, a, b = (float(v) for v in np.exp(newton(problem, np.zeros(4))))
     return BgNbd(r, alpha / scale, a, b)
 
 
 def fit_gamma_gamma(inputs: DataFrame, penalty: float = PENALTY) -> GammaGamma:
     """Parameters from the columns Repeats and OrderValue of customers who spent."""
     with _gamma_gamma(inputs, penalty) as problem:
-        return GammaGamma(*(float(v) for v in np.exp(minimise(problem.evaluate, np.zeros(3)))))
+        return GammaGamma(*(float(v) for v in np.exp(newton(problem, np.zeros(3)))))
 
 
 def bgnbd_objectives(inputs: DataFrame, models: list[BgNbd], penalty: float = PENALTY) -> list[float]:
@@ -169,3 +259,16 @@ def gamma_gamma_objectives(inputs: DataFrame, models: list[GammaGamma], penalty:
     """What the fit minimises, at given parameters."""
     with _gamma_gamma(inputs, penalty) as problem:
         return problem.evaluate([np.log(list(m)) for m in models]).tolist()
+
+
+def bgnbd_slopes(inputs: DataFrame, model: BgNbd, penalty: float = PENALTY) -> tuple[float, np.ndarray, np.ndarray]:
+    """The objective at given parameters, its gradient and its curvature by their logarithms."""
+    problem, scale = _bgnbd(inputs, penalty)
+    with problem:
+        return problem.slopes(np.log([model.r, model.alpha * scale, model.a, model.b]))
+
+
+def gamma_gamma_slopes(inputs: DataFrame, model: GammaGamma, penalty: float = PENALTY) -> tuple[float, np.ndarray, np.ndarray]:
+    """The objective at given parameters, its gradient and its curvature by their logarithms."""
+    with _gamma_gamma(inputs, penalty) as problem:
+        return problem.slopes(np.log(list(model)))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallybook.functions.expressions import ln_gamma
+from tallybook.functions.expressions import digamma, ln_gamma, trigamma
 from tallybook.functions.quantiles import exact_quantiles
 from tallybook.operators import clv
 from tallybook.plans import lifetime_value, maximum_likelihood
@@ -158,3 +158,46 @@ def test_equal_values_share_the_lowest_label(spark):
     df = spark.createDataFrame([(i, 5.0) for i in range(8)], "CustomerID bigint, CLV double")
     assert {r.CLV_Segment for r in clv.clv_quartiles(df).collect()} == {"Low Value"}
     assert [tuple(r) for r in clv.clv_histogram(df).collect()] == [(0, 8)]
+
+
+def test_digamma_and_trigamma_against_differences_of_ln_gamma(spark):
+    z = [0.05, 0.3, 1.0, 2.5, 7.0, 40.0, 1000.0]
+    rows = spark.createDataFrame([(v,) for v in z], "z double").select("z", digamma(F.col("z")), trigamma(F.col("z"))).collect()
+    for v, first, second in rows:
+        h = 1e-4 * v
+        low, mid, high = (math.lgamma(v + k * h) for k in (-1, 0, 1))
+        assert first == pytest.approx((high - low) / (2 * h), rel=1e-5, abs=1e-6)
+        assert second == pytest.approx((high - 2 * mid + low) / h**2, rel=1e-2)
+    # psi(1) = -0.57721..., psi'(1) = pi^2 / 6; psi(z + 1) - psi(z) = 1 / z
+    one = next(r for r in rows if r[0] == 1.0)
+    assert one[1] == pytest.approx(-0.5772156649015329, abs=1e-12) and one[2] == pytest.approx(math.pi**2 / 6, abs=1e-11)
+
+
+def test_slopes_against_differences_and_fits_without_derivatives(spark):
+    df = spark.createDataFrame(
+        [*simulate(1500), (-1, 0, 0.0, 90.0, 0.0)],
+        "CustomerID bigint, Repeats bigint, ModelRecency double, ModelT double, OrderValue double",
+    ).persist()
+    bgnbd, _ = maximum_likelihood._bgnbd(df, 0.01)
+    for make, d in ((lambda: bgnbd, 4), (lambda: maximum_likelihood._gamma_gamma(df, 0.01), 3)):
+        with make() as problem:
+            at = np.linspace(-0.4, 0.5, d)
+            value, gradient, curvature = problem.slopes(at)
+            h, unit = 1e-4, np.eye(d) * 1e-4
+            f = problem.evaluate([at, *(at + u for u in unit), *(at - u for u in unit)])
+            assert value == pytest.approx(f[0], abs=1e-10)
+            assert gradient == pytest.approx((f[1 : d + 1] - f[d + 1 :]) / (2 * h), abs=1e-6)
+            both = np.array([[problem.slopes(at + s * u)[1] for u in unit] for s in (1, -1)])
+            assert curvature == pytest.approx((both[0] - both[1]) / (2 * h), abs=1e-6)
+            problem.jobs = 0
+            exact = maximum_likelihood.newton(problem, np.zeros(d))
+            jobs, problem.jobs = problem.jobs, 0
+            plain = maximum_likelihood.minimise(problem.evaluate, np.zeros(d), tolerance=1e-13)
+            print(f"{jobs} jobs with derivatives, {problem.jobs} without")
+            assert jobs < problem.jobs
+            # both settle at one place; differences of values cannot tell it better than this
+            assert problem.evaluate([exact])[0] <= problem.evaluate([plain])[0] + 1e-12
+            assert exact == pytest.approx(plain, abs=1e-4)
+            # started elsewhere, the exact way ends within 1e-6
+            assert maximum_likelihood.newton(problem, np.full(d, 0.7)) == pytest.approx(exact, abs=1e-6)
+    df.unpersist()
