@@ -10,13 +10,14 @@ then numbers the pieces of every length and reads each one's sequence and offset
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -38,41 +39,73 @@ END = 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, number long"
 
 # Python's split() also cuts at these, which are no white space to the tokenizer
-_SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
-_STOPS = ".,;:!?"
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+_STOPS = re.compile(r"[.,;:!?](?<=[^\W\d_].)[.,;:!?]*(?!\S)")
+# words that are encoded as one text
+_TOGETHER = 1000
 
 
 def _is_latin(word: str) -> bool:
-    """Letters that are composed already, and whose lower case is one character for the tokenizer as for Python."""
+    """Letters that are composed already, each of them one letter to the tokenizer in lower case, too."""
     return word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word))
 
 
+def _is_plain(text: str) -> bool:
+    """Characters up to U+00FF, whose lower case is the tokenizer's, and no special string in any case."""
+    if "<|" in text:
+        return False
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
 class Ids:
     """Little-endian unsigned 32-bit ids of whole texts.
 
-    The tokenizer never joins characters across white space, nor letters with the stops after them, so a text's ids
-    are those of its words in order, and each distinct word is encoded once by the library.
+    The tokenizer never joins characters across white space, nor letters with the stops after them, and it reads
+    lower case, so a text's ids are those of its words in order, and each distinct word is encoded once by the
+    library. Words of letters alone are encoded many at a time: the last id of each is one that ends a word.
     """
 
     def __init__(self, path: str):
         # a worker's own thread does all the work
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts = Memo(self._encode, limit=600_000)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.known = Memo(self._encode_words, limit=800_000)
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+    def _encode(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _encode_together(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(cuts) != len(words):
+            return self._encode(words)
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in pairwise([0, *cuts])]
+
     def _encode_words(self, words: list[str]) -> list[bytes]:
-        letters = [w.rstrip(_STOPS) for w in words]
-        split = [(a.lower(), w[len(a) :]) if _is_latin(a) else (w, "") for a, w in zip(letters, words, strict=True)]
-        self.parts.learn(chain.from_iterable(split))
-        return [self.parts[a] + self.parts[b] if b else self.parts[a] for a, b in split]
+        latin = [w for w in words if _is_latin(w)]
+        found = {}
+        for i in range(0, len(latin), _TOGETHER):
+            some = latin[i : i + _TOGETHER]
+            found.update(zip(some, self._encode_together(some), strict=True))
+        other = [w for w in words if w not in found]
+        found.update(zip(other, self._encode(other), strict=True))
+        return [found[w] for w in words]
+
+    def _words(self, text: str) -> list[str] | None:
+        if _SEPARATORS.search(text):
+            return None
+        return _STOPS.sub(r" \g<0>", text.lower()).split() if _is_plain(text) else text.split()
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        split = [t.split() if _SEPARATORS.isdisjoint(t) else None for t in texts]
+        split = [self._words(t) for t in texts]
         self.known.learn(chain.from_iterable(s for s in split if s))
         for text, words in zip(texts, split, strict=True):
             yield self._encode([text])[0] if words is None else b"".join(map(self.known.__getitem__, words))
