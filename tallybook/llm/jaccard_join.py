@@ -187,18 +187,24 @@ def _verified(table: pa.Table) -> pa.Table:
 
 def verified_links(docs: DataFrame, texts: DataFrame, clusters: DataFrame) -> DataFrame:
     """a, b, links: the links of every text (b null), and links that span the components of the exact relation."""
-    members = clusters.join(texts.select("key", "copies", "bytes"), clusters["node"] == texts["key"]).select(
-        "key", "copies", "bytes", F.col("root").alias("cluster")
+    members = clusters.join(texts.select("key", "first", "copies", "bytes"), clusters["node"] == texts["key"]).select(
+        "key", "first", "copies", "bytes", F.col("root").alias("cluster")
     )
     sizes = members.groupBy("cluster").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
     )
-    placed = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    # written, so that Spark knows its size: texts outside the components need no shuffle while it can be broadcast
+    placed = stage(
+        members.join(sizes, "cluster")
+        .withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+        .select(F.col("key").alias("of"), "first", "copies", "cluster", "blocks", "block")
+    )
     rows = id_and_text(docs)
+    keyed = rows.select("doc_id", text_key(rows).alias("key"), "text")
+    # one row of each text, told by its id: copies lie in many partitions and do not come to one task
     texts_of = (
-        rows.select(text_key(rows).alias("key"), "text")
-        .join(placed, "key")
-        .dropDuplicates(["key"])
+        keyed.join(placed, (F.col("key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first")))
+        .dropDuplicates(["key", "doc_id"])
         .select("cluster", "block", "key", "copies", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     )
     return (
