@@ -15,7 +15,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.llm.batches import add_columns, id_and_text, quoted, whole_text
@@ -42,6 +42,11 @@ def text_key(docs: DataFrame):
     return F.unhex(F.md5(whole_text(docs).cast("binary")))
 
 
+def _row_key(key: Column, doc_id: Column) -> Column:
+    """Text and id of a row; a null id is like no number."""
+    return F.concat(key, F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+
+
 def _sketcher():
     random = np.random.default_rng(20)
     a = random.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -193,18 +198,21 @@ def verified_links(docs: DataFrame, texts: DataFrame, clusters: DataFrame) -> Da
     sizes = members.groupBy("cluster").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
     )
-    # written, so that Spark knows its size: texts outside the components need no shuffle while it can be broadcast
-    placed = stage(
-        members.join(sizes, "cluster")
-        .withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-        .select(F.col("key").alias("of"), "first", "copies", "cluster", "blocks", "block")
+    placed = members.join(sizes, "cluster").select(
+        _row_key(F.col("key"), F.col("first")).alias("row"),
+        "copies",
+        "cluster",
+        "blocks",
+        F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"),
     )
     rows = id_and_text(docs)
-    keyed = rows.select("doc_id", text_key(rows).alias("key"), "text")
-    # one row of each text, told by its id: copies lie in many partitions and do not come to one task
+    keyed = rows.select(text_key(rows).alias("key"), "doc_id", "text")
+    # one row of each text, told by its id: its copies lie in many partitions and do not come to one task. The same
+    # join at every size: a broadcast of small components saved a shuffle on small inputs only
     texts_of = (
-        keyed.join(placed, (F.col("key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first")))
-        .dropDuplicates(["key", "doc_id"])
+        keyed.withColumn("row", _row_key(F.col("key"), F.col("doc_id")))
+        .join(placed.hint("merge"), "row")
+        .dropDuplicates(["row"])
         .select("cluster", "block", "key", "copies", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     )
     return (
