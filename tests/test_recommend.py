@@ -278,3 +278,55 @@ def test_scores_in_parts_equal_scores(spark, at_once, monkeypatch):
     tx = spark.createDataFrame(lines, COLUMNS)
     got = rec.item_recommendations(tx, k=4, hot_owners=9).select("CustomerID", "Rank", "StockCode", "Score").collect()
     assert {tuple(r) for r in got} == brute_items(lines, 4)
+
+
+@pytest.mark.parametrize("few", [0, 60])
+def test_blocks_and_signatures_give_the_same_results(spark, few, monkeypatch):
+    """Many blocks, merged a few entries at a time, with all customers by signature or only those who meet many entries."""
+    for name, value in {"FEW": few, "BLOCK": 90, "AT_ONCE": 25, "LIST": 9}.items():
+        monkeypatch.setattr(rec, name, value)
+    lines = make_lines(9)
+    tx = spark.createDataFrame(lines, COLUMNS)
+    got = rec.item_recommendations(tx, k=4, hot_owners=9).select("CustomerID", "Rank", "StockCode", "Score").collect()
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == brute_items(lines, 4)
+    similar = rec.similar_customers(tx, k=4, hot_owners=9).collect()
+    assert len(similar) == len(set(similar))
+    assert {(r.CustomerID, r.Rank, r.SimilarID, round(r.Similarity, 9)) for r in similar} == brute_similar(lines, 4)
+
+
+def test_customers_who_meet_few_entries_need_no_signatures(spark, monkeypatch):
+    """Scores of every signature became rows before: as many as customers times partners where sets hardly repeat."""
+    made = []
+    signatures = rec._signatures
+    monkeypatch.setattr(rec, "_signatures", lambda pairs, entity, item: made.append(entity) or signatures(pairs, entity, item))
+    lines = make_lines(3)
+    tx = spark.createDataFrame(lines, COLUMNS)
+    got = rec.item_recommendations(tx, k=4, hot_owners=1).select("CustomerID", "Rank", "StockCode", "Score").collect()
+    assert {tuple(r) for r in got} == brute_items(lines, 4) and not made
+    similar = rec.similar_customers(tx, k=4, hot_owners=1).collect()
+    # one grouping of equal sets, none of hot products
+    assert {(r.CustomerID, r.Rank, r.SimilarID, round(r.Similarity, 9)) for r in similar} == brute_similar(lines, 4)
+    assert made == ["CustomerID"]
+
+
+def test_lists_take_few_bytes_and_go_once_to_a_block(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    pairs = spark.range(2000).selectExpr("id % 5 AS A", "id + 70000 AS B", "id % 7 + 1 AS n")
+    packed = rec._pack_partners(rec._partners(pairs), pairs)
+    rows = packed.lists.collect()
+    assert packed.widths == [1, 3] and sum(r.Entries for r in rows) == 2000
+    assert sum(len(r.List) for r in rows) == 4 * 2000
+    # two keys read the same two lists, of which one row each is sent
+    sent = pa.table({"Sent": [r.StockCode for r in rows if r.StockCode < 2], "List": [bytes(r.List) for r in rows if r.StockCode < 2]})
+    held = pa.table(
+        [[8, 9, 9, 8], [0, 1, 0, 1], [True] * 4, [1] * 4, [70000, 70001, -1, 3], [-100, -100, 50, 0]],
+        ["Key", "Item", "Reads", "Weight", "Other", "Value"],
+    )
+    want = {i + 70000: i % 7 + 1 for i in range(2000) if i % 5 < 2}
+    for weights in ([1] * 4, [2] * 4):
+        held = held.set_column(3, "Weight", pa.array(weights))
+        got = {k: dict(zip(*np.asarray(e).tolist(), strict=True)) for k, e in rec._merged_entries(held, sent, packed.fields, packed.widths)}
+        for key, own in ((8, {70000: -100}), (9, {70001: -100, -1: 50})):
+            assert got[key] == {o: weights[0] * want.get(o, 0) + own.get(o, 0) for o in want | own}
