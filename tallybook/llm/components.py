@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.sources.staging import stage
 
 
+def fewer_links(links: DataFrame) -> DataFrame:
+    """Links (a, b) with the same components: every b keeps its least a, to which its other a are linked instead.
+
+    Where many stars hold the same nodes, as the runs of a similarity join make them, the links between their centres
+    coincide: what is left follows the nodes, not nodes times stars.
+    """
+    centred = links.filter("a != b").select("a", "b", F.min("a").over(Window.partitionBy("b")).alias("least"))
+    kept = centred.select(F.col("least").alias("a"), "b").distinct()
+    return kept.union(centred.filter("a != least").select("least", "a").distinct())
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root for every node of the links (a, b); the root is the smallest node of the component.
 

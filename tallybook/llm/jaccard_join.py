@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.llm.batches import add_columns, id_and_text, quoted, whole_text
-from tallybook.llm.components import components
+from tallybook.llm.components import components, fewer_links
 from tallybook.llm.shingles import Hasher, exact_ids
 from tallybook.sources.staging import stage
 
@@ -86,7 +86,7 @@ def _match(sketches: np.ndarray, others: np.ndarray) -> np.ndarray:
 
 
 def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
-    """Links of a spanning forest of a symmetric matrix."""
+    """Links from one member of each component of a symmetric matrix to its others."""
     free, out = np.ones(len(linked), bool), []
     for start in range(len(linked)):
         if not free[start]:
@@ -96,7 +96,7 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
             i = queue.pop()
             found = np.flatnonzero(linked[i] & free)
             free[found] = False
-            out += [(i, int(j)) for j in found]
+            out += [(start, int(j)) for j in found]
             queue += found.tolist()
     return out
 
@@ -227,7 +227,7 @@ def _classes(docs: DataFrame, recall: float) -> DataFrame:
     """key, root, links, copies, first of every distinct text with words; staged."""
     texts = stage(distinct_texts(docs))
     found = candidate_links(texts, runs_for(recall, SIMILARITY[0] / SIMILARITY[1]))
-    verified = stage(verified_links(docs, texts, components(found)))
+    verified = stage(verified_links(docs, texts, components(fewer_links(found))))
     roots = components(verified.filter("b IS NOT NULL"))
     links = verified.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     return stage(

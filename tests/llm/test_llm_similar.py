@@ -387,3 +387,19 @@ def test_nearest_vectors_of_odd_rows(spark):
     assert [tuple(r)[:3] for r in nearest.search(vectors.filter("vec_id IN (40, 1)")).collect()] == [(40, 1, 1)]
     assert nearest.search(vectors.filter("vec_id IN (40)")).count() == 0
     assert nearest.search(vectors.filter("false")).columns == ["query_id", "rank", "vec_id", "score"]
+
+
+def test_many_stars_over_the_same_nodes_leave_few_links(spark):
+    """Runs link nearly the same 300 texts from centres of their own; a chain and a pair stand beside them."""
+    from tallybook.llm.components import components, fewer_links
+
+    rng = np.random.default_rng(4)
+    stars = []
+    for _ in range(40):
+        nodes = np.sort(rng.choice(300, 240, replace=False)).tolist()
+        stars += [(nodes[0], n) for n in nodes[1:]]
+    links = stars + [(1000 + i, 1001 + i) for i in range(20)] + [(2001, 2000), (7, 7)]
+    table = spark.createDataFrame(links, "a long, b long")
+    fewer = fewer_links(table)
+    assert fewer.count() < 400 < len(stars) / 20
+    assert {tuple(r) for r in components(fewer).collect()} == {tuple(r) for r in components(table).collect()}
