@@ -275,6 +275,27 @@ def test_passages_of_common_phrases_are_found(spark, holders, change):
     assert set(words) <= {ids[t] for pair in shared for t, _ in pair}
 
 
+@pytest.mark.parametrize("block", [1000, 7])
+def test_passages_are_found_beyond_the_first_text_of_their_keys(spark, monkeypatch, block):
+    """Both ends of a shared passage, 45 words each, also stand in a dozen other texts, which repeat no passage."""
+    monkeypatch.setattr(substring_dedup, "BLOCK", block)
+    u, rows, expected = unique_words, [], {}
+    for k in range(20):
+        passage = u(f"w{k}x", 55)
+        other = [*passage[:27], "other", *passage[28:]] if k % 2 else passage
+        for at, words in ((30, passage), (40, other)):
+            expected[len(rows)] = set(range(at, at + 55))
+            rows.append((len(rows), " ".join(u(f"a{k}x{at}x", at) + words + u(f"b{k}x{at}x", 30))))
+        for j in range(12):
+            for i, part in enumerate((other[:45], passage[10:])):
+                rows.append((len(rows), " ".join(u(f"c{k}x{i}x{j}x", 40) + part + u(f"d{k}x{i}x{j}x", 40))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = covered(substring_dedup.passages(docs).collect())
+    assert all(expected[k] <= words.get(k, set()) for k in expected)
+    # with a word changed, its shorter side is at the similarity with the end of the passage that others hold
+    assert {k for k in words if k not in expected} <= {i for i, t in rows if any(f"c{k}x" in t for k in range(1, 20, 2))}
+
+
 def test_passages_against_brute_force(spark):
     """All stretches of two texts with a similarity of 0.8, by comparing every pair of stretches of 50 words."""
     r = random.Random(8)
