@@ -12,24 +12,24 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from tallybook.llm.batches import Memo, held, id_and_text, slices
+from tallybook.llm.batches import held, id_and_text, slices
 from tallybook.sources.staging import stage
 
 TOKENIZER = "word_bpe_49k.json"
@@ -38,11 +38,14 @@ END = 0
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, number long"
 
-# Python's split() also cuts at these, which are no white space to the tokenizer
+# splitting also cuts at these, which are no white space to the tokenizer
 _SEPARATORS = re.compile("[\x1c-\x1f]")
-_STOPS = re.compile(r"[.,;:!?](?<=[^\W\d_].)[.,;:!?]*(?!\S)")
+# a letter and the signs after it, at the end of a word
+_SIGNS = r"(\pL)([^\s\pL\pN]+)(\s|$)"
 # words that are encoded as one text
-_TOGETHER = 1000
+_TOGETHER = 500
+# texts whose distinct words are encoded once: a bound on memory
+_SLICE_BYTES = 32_000_000
 
 
 def _is_latin(word: str) -> bool:
@@ -63,52 +66,72 @@ def _is_plain(text: str) -> bool:
 class Ids:
     """Little-endian unsigned 32-bit ids of whole texts.
 
-    The tokenizer never joins characters across white space, nor letters with the stops after them, and it reads
-    lower case, so a text's ids are those of its words in order, and each distinct word is encoded once by the
-    library. Words of letters alone are encoded many at a time: the last id of each is one that ends a word.
+    The tokenizer never joins characters across white space, nor letters with the signs after them, and it reads
+    lower case, so a text's ids are those of its words in order. Arrow splits the texts and numbers their distinct
+    words, the library encodes each of these once, and Arrow puts the ids where the words stand. Words of letters
+    alone are encoded many at a time: the last id of each is one that ends a word.
     """
 
     def __init__(self, path: str):
         # a worker's own thread does all the work
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        # ASCII letters in lower case need neither the rules of reading nor the pattern of words
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self.known = Memo(self._encode_words, limit=800_000)
 
-    def _encode(self, words: list[str]) -> list[bytes]:
+    def _encode(self, words: list[str]) -> pa.Array:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
+        return pa.array([np.array(e.ids, "<u4").tobytes() for e in found], pa.large_binary())
 
-    def _encode_together(self, words: list[str]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+    def _encode_together(self, words: pa.Array, tokenizer: Tokenizer) -> pa.Array:
+        text = " ".join(words.to_pylist())
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
         if len(cuts) != len(words):
-            return self._encode(words)
-        raw = ids.tobytes()
-        return [raw[i:j] for i, j in pairwise([0, *cuts])]
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        latin = [w for w in words if _is_latin(w)]
-        found = {}
-        for i in range(0, len(latin), _TOGETHER):
-            some = latin[i : i + _TOGETHER]
-            found.update(zip(some, self._encode_together(some), strict=True))
-        other = [w for w in words if w not in found]
-        found.update(zip(other, self._encode(other), strict=True))
-        return [found[w] for w in words]
-
-    def _words(self, text: str) -> list[str] | None:
-        if _SEPARATORS.search(text):
-            return None
-        return _STOPS.sub(r" \g<0>", text.lower()).split() if _is_plain(text) else text.split()
+            return self._encode(words.to_pylist())
+        buffers = [None, pa.py_buffer(np.append(0, cuts).astype(np.int64)), pa.py_buffer(ids)]
+        return pa.Array.from_buffers(pa.large_binary(), len(words), buffers)
+
+    def _of_words(self, words: pa.Array) -> pa.Array:
+        letters = np.array(pc.and_(pc.string_is_ascii(words), pc.utf8_is_alpha(words)), bool)
+        rest = np.flatnonzero(~letters)
+        latin = np.array([_is_latin(w) for w in words.take(pa.array(rest)).to_pylist()], bool)
+        places = np.flatnonzero(letters), rest[latin], rest[~latin]
+        ascii_, latin, other = (words.take(pa.array(p)) for p in places)
+        found = [
+            self._encode_together(some.slice(i, _TOGETHER), tokenizer)
+            for some, tokenizer in ((pc.ascii_lower(ascii_), self.letters), (latin, self.tokenizer))
+            for i in range(0, len(some), _TOGETHER)
+        ]
+        found.append(self._encode(other.to_pylist()))
+        order = np.empty(len(words), np.int64)
+        order[np.concatenate(places)] = np.arange(len(words))
+        return pa.concat_arrays(found).take(pa.array(order))
+
+    def _of_texts(self, texts: pa.Array) -> Iterator[bytes]:
+        split = pc.utf8_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        ids = self._of_words(words.dictionary).take(words.indices)
+        _, until, raw = ids.buffers()
+        until = np.frombuffer(until, np.int64)[np.asarray(split.offsets)].tolist()
+        for i, j in pairwise(until):
+            yield raw[i:j].to_pybytes()
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        split = [self._words(t) for t in texts]
-        self.known.learn(chain.from_iterable(s for s in split if s))
-        for text, words in zip(texts, split, strict=True):
-            yield self._encode([text])[0] if words is None else b"".join(map(self.known.__getitem__, words))
+        # Arrow splits where the tokenizer does, but for the separators
+        whole = [bool(_SEPARATORS.search(t)) for t in texts]
+        plain = [not w and _is_plain(t) for t, w in zip(texts, whole, strict=True)]
+        lowered = pa.array([t.lower() for t, p in zip(texts, plain, strict=True) if p], pa.large_string())
+        other = pa.array([t for t, p, w in zip(texts, plain, whole, strict=True) if not p and not w], pa.large_string())
+        apart = self._of_texts(pc.replace_substring_regex(lowered, _SIGNS, r"\1 \2\3"))
+        other = self._of_texts(other)
+        for text, p, w in zip(texts, plain, whole, strict=True):
+            yield self._encode([text])[0].as_py() if w else next(apart if p else other)
 
 
 def _ids(path: str) -> Ids:
@@ -124,7 +147,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, size: int = SIZE) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, seen, part = _ids(path), Counter(), TaskContext.get().partitionId()
-        for batch in slices(batches):
+        for batch in slices(batches, size=_SLICE_BYTES):
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), ids_of(batch.column(1).to_pylist()), strict=True):
                 ids += end

@@ -82,6 +82,18 @@ def test_ids_for_packing_match_library():
     assert found == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_words_of_letters_are_encoded_together_whatever_signs_follow():
+    path = public_tokenizers.path(packing.TOKENIZER)
+    ids, single = packing.Ids(path), []
+    encode = ids._encode
+    ids._encode = lambda words: single.extend(words) or encode(words)
+    texts = ["Heat*** the heat, the### \u00e9t\u00e9$$$ it's&&&", "heat***\n", "", "the.%%% 2,"]
+    found = [np.frombuffer(b, "<u4").tolist() for b in ids(texts)]
+    assert found == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert sorted(w for w in single if w and not w[0].isalpha()) == ["###", "$$$", "&&&", "***", ",", ".%%%", "2,"]
+    assert [w for w in single if w[:1].isalpha()] == ["it's"]
+
+
 def test_plan_places_every_piece_once_and_fills_exactly_where_it_can():
     r = random.Random(8)
     for n in (1, 3, 50, 3000):
