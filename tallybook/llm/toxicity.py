@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -48,6 +49,9 @@ _SUSPICIOUS = re.compile(rf"[^\W\d_][{_LOOK}]|[{_LOOK}][^\W\d_]|[^\W\d_][^\w\s]+
 # three or more signs that stand alone
 _SPELLED = re.compile(r"(?<!\S)\S(?:[^\S\n]\S(?!\S)){2,}")
 _WORDS = re.compile(r"[^\W\d_]+")
+# tokens that are one word and hide nothing: small letters, of which no three alike follow each other, and stops
+_STOPS = ".,;:?"
+_LETTERS, _ALIKE = "^[a-zß-öø-ÿ]+$", "|".join(c * 3 for c in LETTERS if c.isalpha())
 
 
 def _cells(text: str) -> Iterator[np.ndarray]:
@@ -283,16 +287,60 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * evidence + self.offset))))
 
 
-def _strongest(values: Iterator) -> float:
+def _strongest(values: Iterable) -> float:
     """The sum of the two strongest pieces of evidence of a text."""
     found = {f: e for value in values for f, e in value}
-    return sum(sorted(found.values(), reverse=True)[:2])
+    return float(sum(sorted(found.values(), reverse=True)[:2]))
+
+
+class Evidence:
+    """The strongest evidence of texts, whose distinct tokens are looked up once for all of them."""
+
+    def __init__(self, model: Model):
+        self.model, self.tokens = model, Tokens(Reader(model.costs), model.of_word)
+        self.whole = pa.array([f for f in model.evidence if not f.endswith("*")], pa.large_string())
+        self.beginnings = {
+            k: pa.array([f[:k] for f in model.evidence if f.endswith("*") and len(f) == k + 1], pa.large_string()) for k in BEGINNINGS
+        }
+
+    def _values(self, tokens: pa.Array) -> tuple[list[int], list[list]]:
+        """The tokens that have evidence, and what they have."""
+        stems = pc.utf8_rtrim(tokens, _STOPS)
+        plain = pc.and_not(pc.match_substring_regex(stems, _LETTERS), pc.match_substring_regex(stems, _ALIKE))
+        met = pc.is_in(stems, self.whole)
+        for k, known in self.beginnings.items():
+            met = pc.or_(met, pc.is_in(pc.utf8_slice_codeunits(stems, 0, k), known))
+        plain, met = np.array(plain, bool), np.array(met, bool)
+        at, other = np.flatnonzero(plain & met), np.flatnonzero(~plain)
+        found = list(map(self.model.of_word, stems.take(pa.array(at)).to_pylist()))
+        read = tokens.take(pa.array(other)).to_pylist()
+        self.tokens.known.learn(read)
+        found += map(self.tokens.known.__getitem__, read)
+        some = [(i, v) for i, v in zip(np.append(at, other).tolist(), found, strict=True) if v]
+        return [i for i, _ in some], [v for _, v in some]
+
+    def __call__(self, texts: list[str]) -> list[float]:
+        split = pc.utf8_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
+        tokens = split.flatten().dictionary_encode()
+        at, values = self._values(tokens.dictionary)
+        number = np.full(len(tokens.dictionary), -1)
+        number[at] = np.arange(len(at))
+        met = number[np.asarray(tokens.indices)]
+        places = np.flatnonzero(met >= 0)
+        of_text: dict[int, list] = {}
+        for text, k in zip((np.searchsorted(np.asarray(split.offsets), places, "right") - 1).tolist(), met[places].tolist(), strict=True):
+            of_text.setdefault(text, []).append(values[k])
+        for i, text in enumerate(texts):
+            if _SPELLED.search(text):
+                words = self.tokens.reader.spelled(text)
+                of_text.setdefault(i, []).append([v for w in words for v in self.model.of_word(w)])
+        return [_strongest(of_text.get(i, ())) for i in range(len(texts))]
 
 
 def _evidence(rows: DataFrame, model, keep: str) -> DataFrame:
     def make():
-        of_token = Tokens(Reader(model.value.costs), model.value.of_word)
-        return lambda texts: [[_strongest(of_token(t)) for t in texts]]
+        of_texts = Evidence(model.value)
+        return lambda texts: [of_texts(texts)]
 
     return add_columns(rows, make, "evidence double", [keep])
 

@@ -340,6 +340,18 @@ def test_texts_are_restored(disguised):
     assert all(restored[r.doc_id] == r.text for r in df.filter("doc_id < 800").collect())
 
 
+def test_evidence_of_texts_reads_only_tokens_that_may_hide_something():
+    r = random.Random(4)
+    costs = toxicity.letter_costs(np.zeros(toxicity.SIZE**3, np.int64)).astype(np.float32)
+    known = {"bad": 2.0, "badl*": 1.5, "badly": 1.5, "wors*": 1.0, "\u00e9vil": 0.5, "fine": -1.0}
+    model = toxicity.Model(costs, known, 1.0, 0.0)
+    words = ["bad", "badly", "badland", "worst,", "\u00c9vil!", "b4d", "baaad", "ba.d", "(bad)", "fine", "other.", "b a d", "\u00f7", "\u03a3", "\n"]
+    texts = ["", " "] + [" ".join(r.choices(words, k=r.randint(1, 6))) for _ in range(500)]
+    of_texts, one = toxicity.Evidence(model), toxicity.Tokens(toxicity.Reader(costs), model.of_word)
+    assert of_texts(texts) == [toxicity._strongest(one(t)) for t in texts]
+    assert not {"bad", "badly", "worst,", "other."} & set(of_texts.tokens.known)
+
+
 def test_toxicity_on_held_out_documents(spark):
     docs, labels = read(spark, MEDIUM.replace("0.01", "0.1"), "documents"), read(spark, MEDIUM.replace("0.01", "0.1"), "labels")
     scored = toxicity.classify(docs, labels).join(labels, "doc_id").filter("held_out").collect()
