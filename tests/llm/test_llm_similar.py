@@ -296,6 +296,35 @@ def test_passages_are_found_beyond_the_first_text_of_their_keys(spark, monkeypat
     assert {k for k in words if k not in expected} <= {i for i, t in rows if any(f"c{k}x" in t for k in range(1, 20, 2))}
 
 
+def test_texts_in_which_a_key_repeats_are_linked_as_wholes(spark, monkeypatch):
+    """Texts of one line that repeats between lines of their own; some share two lines in a row, or the line with a changed word."""
+    u, line, next_ = unique_words, unique_words("l", 30), unique_words("n", 25)
+    rows = [(k, " ".join(sum((line + u(f"t{k}x{j}x", 25) for j in range(40)), []))) for k in range(8)]
+    shared = [(100 + k, rows[k][1] + " " + " ".join(line + (next_ if k else [*next_[:20], "other", *next_[21:]]))) for k in range(3)]
+    docs = spark.createDataFrame(rows + shared, "doc_id long, text string")
+    monkeypatch.setattr(substring_dedup, "_nearest", lambda *_: pytest.fail("places were compared one by one"))
+    keys = substring_dedup.shared(substring_dedup.windows(substring_dedup._texts(docs))).filter(substring_dedup._repeats())
+    found = substring_dedup.whole_links(keys).select("text_id", "other").distinct().count()
+    assert found == 11 * 10 / 2
+    monkeypatch.undo()
+    words = covered(substring_dedup.passages(docs.filter("doc_id < 8 OR doc_id > 100")).collect())
+    for k in (101, 102):
+        n = len(dict(shared)[k].split())
+        assert set(range(n - 55, n)) <= words[k]
+    assert not set(words) & set(range(3, 8))
+
+
+def test_texts_without_a_long_stretch_of_common_tokens_are_not_compared():
+    r = random.Random(6)
+    for _ in range(300):
+        base = [f"w{r.randint(0, 60)}" for _ in range(120)]
+        one, two = (" ".join(w if r.random() > 0.06 else f"x{r.random()}" for w in base[r.randint(0, 40) :]) for _ in range(2))
+        may = substring_dedup._may_repeat(Hasher()(one), Hasher()(two))
+        assert may or not substring_dedup.common_passages(one, two)
+    line = " ".join(unique_words("l", 40))
+    assert not substring_dedup._may_repeat(Hasher()(f"{line} {' '.join(unique_words('a', 60))}"), Hasher()(f"{' '.join(unique_words('b', 60))} {line}"))
+
+
 def test_passages_against_brute_force(spark):
     """All stretches of two texts with a similarity of 0.8, by comparing every pair of stretches of 50 words."""
     r = random.Random(8)
