@@ -45,7 +45,7 @@ _SIGNS = r"(\pL)([^\s\pL\pN]+)(\s|$)"
 # words that are encoded as one text
 _TOGETHER = 500
 # texts whose distinct words are encoded once: a bound on memory
-_SLICE_BYTES = 32_000_000
+_SLICE_BYTES = 16_000_000
 
 
 def _is_latin(word: str) -> bool:
