@@ -61,6 +61,22 @@ def test_merges_go_by_rank_and_from_the_left():
     assert byte_bpe.fold_merges(b"", ranks) == []
 
 
+def test_words_are_folded_together_in_rounds(monkeypatch):
+    """As many look-ups of ranks as the longest word has merges, not as all words have."""
+    path = public_tokenizers.path(byte_bpe.RANKS)
+    ranks = byte_bpe.load_ranks(path)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(12)
+    words = ["".join(r.choices("aehinorst\u00e9\u65e5*", k=r.randint(0, 14))) for _ in range(4000)]
+    merges, calls = byte_bpe.Merges(ranks), []
+    ranked = merges._ranked
+    monkeypatch.setattr(merges, "_ranked", lambda *pair: calls.append(1) or ranked(*pair))
+    found = merges.fold([w.encode() for w in words])
+    assert len(calls) <= 2 * max(len(w.encode()) for w in words)
+    assert [merges.fold([w.encode()])[0] for w in words[:200]] == found[:200]
+    assert found == [library._core_bpe.encode_single_piece(w.encode()) if w else [] for w in words]
+
+
 def test_counts_match_library(spark, edge, nothing):
     path = public_tokenizers.path(token_counts.MODEL)
     library = sentencepiece.SentencePieceProcessor(model_file=path)
