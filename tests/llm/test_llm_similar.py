@@ -314,6 +314,27 @@ def test_texts_in_which_a_key_repeats_are_linked_as_wholes(spark, monkeypatch):
     assert not set(words) & set(range(3, 8))
 
 
+def test_runs_of_a_word_are_told_by_their_ends(spark):
+    """A word that follows itself has one key at every place; the ends of a run are enough to find what two texts share."""
+    u, rows, expected = unique_words, [], {}
+    for k in range(300):
+        rows.append((k, " ".join(u(f"a{k}x", 30) + ["la"] * (26 + k % 20) + u(f"b{k}x", 30))))
+    # shared up to and beyond a run of another length, one long enough by itself, one of two words in turn
+    lines = [u("p", 30) + ["la"] * 30, ["la"] * 30 + u("q", 30), ["la"] * 70, ["do", "re"] * 40, u("s", 10) + ["so", "la", "mi"] * 20]
+    for j, line in enumerate(lines):
+        for i, more in enumerate((9, 20)):
+            left, right = (["la"] * more if end == "la" else [] for end in (line[0], line[-1]))
+            words = u(f"c{j}x{i}x", 20) + left + line + right + u(f"d{j}x{i}x", 20)
+            expected[len(rows)] = set(range(20 + len(left), 20 + len(left) + len(line)))
+            rows.append((len(rows), " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring_dedup.windows(substring_dedup._texts(docs)).groupBy("token", "text_id").count()
+    assert found.agg({"count": "max"}).first()[0] <= 4
+    words = covered(substring_dedup.passages(docs).collect())
+    assert all(expected[k] <= words.get(k, set()) for k in expected)
+    assert not any(k in words for k in range(300))
+
+
 def test_texts_without_a_long_stretch_of_common_tokens_are_not_compared():
     r = random.Random(6)
     for _ in range(300):
