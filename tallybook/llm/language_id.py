@@ -122,7 +122,8 @@ class Parser:
         self.langs = sorted(learned)
         self.automata = [SuffixAutomaton(learned[lang]) for lang in self.langs]
         self.bits = [math.log2(a.size) for a in self.automata]
-        self.known = Memo(lambda chunks: list(map(self._count, chunks)))
+        # an entry is a number of some hundred bits
+        self.known = Memo(lambda chunks: list(map(self._count, chunks)), limit=100_000)
 
     def _count(self, chunk: str) -> int:
         """Letters and phrases of a run of non-blanks, in fields of one number that add up without carries."""
