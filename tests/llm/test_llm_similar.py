@@ -296,6 +296,53 @@ def test_passages_are_found_beyond_the_first_text_of_their_keys(spark, monkeypat
     assert {k for k in words if k not in expected} <= {i for i, t in rows if any(f"c{k}x" in t for k in range(1, 20, 2))}
 
 
+def test_a_passage_that_has_a_nearer_twin_repeats_other_texts_too(spark):
+    """Two texts have a passage, two others have it with a changed word: each is nearest to its twin, and all but one repeat another."""
+    u, rows = unique_words, []
+    for k in range(20):
+        passage = u(f"w{k}x", 60)
+        for n in range(4):
+            words = [*passage[:30], "other", *passage[31:]] if n < 2 else passage
+            rows.append((len(rows), " ".join(u(f"a{k}x{n}x", 30) + words + u(f"b{k}x{n}x", 30))))
+    found = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    repeated = covered([r for r in found if not r["kept"]])
+    for k in range(0, len(rows), 4):
+        assert sum(set(range(30, 90)) <= repeated.get(i, set()) for i in range(k, k + 4)) == 3
+    assert all(set(range(30, 90)) <= words for words in covered(found).values()) and len(covered(found)) == len(rows)
+
+
+def test_partners_mark_all_that_any_other_text_could_mark():
+    """Places of texts with random changes: linked ones leave out no token of a stretch that an unlinked one has at the similarity."""
+    random_ = np.random.default_rng(4)
+    near, size, least = substring_dedup._REACH, substring_dedup._SPAN, substring_dedup.ALIKE
+    passage = random_.integers(1, 1 << 16, 2 * near + 1).astype(np.uint16)
+    changed = random_.integers(1, 1 << 16, (120, 2 * near + 1)).astype(np.uint16)
+    context = np.where(random_.random(changed.shape) < random_.choice([0.02, 0.05, 0.1], (120, 1)), changed, passage)
+    context[:, near - 10 : near + 11] = passage[near - 10 : near + 11]
+    context[:, : near - 30][::3] = 0
+    ids, one = np.arange(120), np.zeros(120, np.int64)
+    linked = np.zeros((120, 120), bool)
+    for i, j in substring_dedup._partners(context, ids, one + 2, one, one > 0):
+        linked[i, j] = linked[j, i] = True
+    assert 0 < linked.sum() < linked.size - 120
+    equal = (context[:, None] == context) & (context != 0)[:, None]
+    alike = np.stack([equal[:, :, s : s + size].sum(axis=2) >= least for s in range(size)], axis=2)
+    alike &= equal[:, :, :size] & equal[:, :, near:]
+    alike[ids, ids] = False
+    for smaller in (True, False):
+        there = (ids < ids[:, None] if smaller else ids != ids[:, None])[:, :, None]
+        marked = [substring_dedup._reached((alike & there & x).any(axis=1)) for x in (True, linked[:, :, None])]
+        assert (marked[0] == marked[1]).all() and marked[0].any()
+
+
+def test_stretches_in_which_no_token_stands_twice():
+    random_ = np.random.default_rng(5)
+    size = substring_dedup._SPAN
+    context = random_.integers(0, 3000, (200, 2 * substring_dedup._REACH + 1)).astype(np.uint16)
+    expected = [[len(set(row[s : s + size])) == size for s in range(size)] for row in context.tolist()]
+    assert substring_dedup._distinct(context).tolist() == expected
+
+
 def test_texts_in_which_a_key_repeats_are_linked_as_wholes(spark, monkeypatch):
     """Texts of one line that repeats between lines of their own; some share two lines in a row, or the line with a changed word."""
     u, line, next_ = unique_words, unique_words("l", 30), unique_words("n", 25)
