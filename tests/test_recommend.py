@@ -1,12 +1,16 @@
 """Recommendations against brute force, with hot products, copies of customers and ties."""
 
 import math
+import os
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallybook.operators import recommend as rec
+from tallybook.sources.staging import CLEANS_UP, stage
 
 COLUMNS = "InvoiceNo string, StockCode string, Description string, Quantity int, CustomerID bigint"
 
@@ -330,3 +334,41 @@ def test_lists_take_few_bytes_and_go_once_to_a_block(spark):
         got = {k: dict(zip(*np.asarray(e).tolist(), strict=True)) for k, e in rec._merged_entries(held, sent, packed.fields, packed.widths)}
         for key, own in ((8, {70000: -100}), (9, {70001: -100, -1: 50})):
             assert got[key] == {o: weights[0] * want.get(o, 0) + own.get(o, 0) for o in want | own}
+
+
+def _lines_frame(spark, seed):
+    return spark.createDataFrame(
+        [(f"{i}", s, "d", q, c, "1.5") for i, s, q, c in _plain_lines(seed)],
+        "InvoiceNo string, StockCode string, Description string, Quantity int, CustomerID long, TotalPrice string",
+    )
+
+
+def _plain_lines(seed):
+    r = random.Random(seed)
+    return [(r.randrange(60), f"p{r.randrange(25)}", r.randrange(1, 4), 1 + r.randrange(12)) for _ in range(400)]
+
+
+def test_tables_that_no_later_step_reads_are_gone(spark, monkeypatch):
+    """Pairs of products are kept in one order only, and the baskets behind them not at all."""
+    staged = []
+    monkeypatch.setattr(rec, "stage", lambda df: staged.append(stage(df)) or staged[-1])
+    found = rec.item_recommendations(_lines_frame(spark, 3), k=4)
+    assert found.count()
+    pairs = [df for df in staged if df.columns == ["A", "B", "n"]]
+    assert len(pairs) == 1 and pairs[0].filter("A >= B").isEmpty()
+    files = [f for df in staged if "InvoiceNo" in df.columns for f in df.inputFiles()]
+    assert files and not any(os.path.exists(f.removeprefix("file://")) for f in files)
+
+
+def test_shuffle_files_go_with_the_step_that_made_them(spark):
+    def held():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {blocks.apply(i).toString() for i in range(blocks.size())}
+
+    before, setting = held(), spark.conf.get(CLEANS_UP)
+    counted = stage(spark.range(10_000).groupBy((F.col("id") % 100).alias("x")).agg(F.count("id").alias("n")))
+    until = time.time() + 10
+    while (left := {b for b in held() - before if b.startswith("shuffle_")}) and time.time() < until:
+        time.sleep(0.1)
+    assert not left
+    assert counted.count() == 100 and spark.conf.get(CLEANS_UP) == setting
