@@ -48,6 +48,8 @@ LIST = 1 << 16
 FEW = 1 << 15
 # entries that the keys of one block read, a list counted for each of them
 BLOCK = 1 << 24
+# as many entries as take the room of a row that says what a key reads or has itself
+ROW = 24
 # entries that are merged at once within a block
 AT_ONCE = 1 << 20
 
@@ -782,7 +784,7 @@ def _weighs(weight: Column | int, other: Column | int = 0, value: Column | int =
 
 
 def _blocks(met: DataFrame, key: str, at_block: int) -> DataFrame:
-    """(key, Block): neighbouring keys in blocks that read about `at_block` entries, by running sums within a task."""
+    """(key, Block): neighbouring keys in blocks that take the room of about `at_block` entries, by running sums within a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, before = TaskContext.get().partitionId() << 32, 0
@@ -792,7 +794,7 @@ def _blocks(met: DataFrame, key: str, at_block: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(task + (sums - 1) // at_block)], names=[key, "Block"])
                 before = int(sums[-1])
 
-    ordered = met.select(key, "Met").repartitionByRange(key).sortWithinPartitions(key)
+    ordered = met.select(key, "Room").repartitionByRange(key).sortWithinPartitions(key)
     return ordered.mapInArrow(run, f"{key} bigint, Block bigint")
 
 
@@ -902,9 +904,12 @@ def _from_blocks(
     """
     spark = held.sparkSession
     lengths = _lengths(packed.lists).select(F.col("StockCode").alias("Item"), "Entries")
-    met = stage(held.filter("Reads").join(lengths, "Item").groupBy(key).agg(F.sum("Entries").alias("Met")))
+    reading = held.filter("Reads").join(lengths, "Item").groupBy(key).agg(F.sum("Entries").alias("Met"), F.count(F.lit(1)).alias("Rows"))
+    own = held.filter("NOT Reads").groupBy(key).agg(F.count(F.lit(1)).alias("Own"))
+    rows = F.col("Rows") + F.coalesce("Own", F.lit(0).cast("bigint"))
+    met = stage(reading.join(own, key, "left").select(key, "Met", F.greatest("Met", ROW * rows).alias("Room")))
     narrow = F.col("Met") <= OWNERS_AT_ONCE
-    sizes = met.agg(F.sum(F.when(narrow, F.col("Met"))).alias("All"), F.max("Met").alias("Most")).first()
+    sizes = met.agg(F.sum(F.when(narrow, F.col("Room"))).alias("All"), F.max("Met").alias("Most")).first()
     at_block = min(BLOCK, max(FEW, (sizes["All"] or 0) // (2 * spark.sparkContext.defaultParallelism)))
     placed = stage(_blocks(met.filter(narrow), key, at_block))
     blocks = max(1, placed.select("Block").distinct().count())

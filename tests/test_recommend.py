@@ -372,3 +372,18 @@ def test_shuffle_files_go_with_the_step_that_made_them(spark):
         time.sleep(0.1)
     assert not left
     assert counted.count() == 100 and spark.conf.get(CLEANS_UP) == setting
+
+
+def test_a_block_holds_few_rows_of_its_keys_own(spark, monkeypatch):
+    """Twenty keys that read one entry each, but hold fifty rows of their own, do not go to one task."""
+    monkeypatch.setattr(rec, "BLOCK", 1000)
+    monkeypatch.setattr(rec, "FEW", 1000)
+    placed, blocks = [], rec._blocks
+    monkeypatch.setattr(rec, "_blocks", lambda *a: placed.append(blocks(*a)) or placed[-1])
+    lists = spark.createDataFrame([(1, [(7,)])], "StockCode long, List array<struct<Other:long>>")
+    packed = rec._pack(lists, spark.createDataFrame([(7,)], "Other long"))
+    rows = [(k, 1, True, 1, 0, 0) for k in range(20)] + [(k, -1, False, 0, 100 + n, -1) for k in range(20) for n in range(50)]
+    held = spark.createDataFrame(rows, "Key long, Item long, Reads boolean, Weight long, Other long, Value long")
+    found = rec._from_blocks(held, packed, "Key", ["Other", "Sum"], lambda _, e: [e[0], e[1]], lambda keys: keys)
+    assert {(r["Key"], r["Other"]) for r in found.collect() if r["Sum"] > 0} == {(k, 7) for k in range(20)}
+    assert placed[0].select("Block").distinct().count() >= 10
